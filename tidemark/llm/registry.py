@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules
+from pyspark.sql import functions as F
+
+from . import bpe, license_scan, packing, quality_rules, simhash, vptree
 from .io import shared_dir, table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark, sf_dir):
     shared_dir(spark)
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -15,8 +23,30 @@ def op3_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_vantage_point_search(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_simhash_near_dedup(spark, sf_dir):
+    shared_dir(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_round_trip(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    shared_dir(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_license_scan": op3_license_scan,
+    "op4_vantage_point_search": op4_vantage_point_search,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
