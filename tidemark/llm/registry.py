@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, quality_rules, simhash, vptree
+from . import bpe, license_scan, packing, qda, quality_rules, simhash, toxicity, vptree
 from .io import shared_dir, table
 
 
@@ -32,6 +32,14 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    return qda.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_vantage_point_search": op4_vantage_point_search,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
