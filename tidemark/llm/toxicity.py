@@ -26,17 +26,19 @@ from .bpe import CHUNKS, _Cache
 
 BUCKETS, DIM = 1 << 18, 6
 SAMPLE = 3000  # training rows of each class at most
-EPOCHS, RATE = 6, 0.25
-GRAMS = (3, 4, 5)
+EPOCHS, RATE = 6, 0.02
+GRAMS = (3, 4, 5)  # lengths of n-grams, in UTF-8 bytes
+SURE = 3.0  # standard errors by which a row's log-odds must differ from zero to be its start value
 THRESHOLD = 0.7
 WORD = regex.compile(r"[^\W_]+")
 
 
 def subwords(word: str) -> list[int]:
     """Table rows of a word: its n-grams and itself."""
-    w = f"<{word}>"
-    rows = [zlib.crc32(w[i : i + n].encode()) for n in GRAMS for i in range(len(w) - n + 1)]
-    return [r % BUCKETS for r in (*rows, zlib.crc32(w.encode()))]
+    w = f"<{word}>".encode()
+    rows = [zlib.crc32(w[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
+    rows.append(zlib.crc32(w) % BUCKETS)
+    return rows
 
 
 def crc_fold(column: str, folds: int) -> Column:
@@ -63,13 +65,22 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
     if len(set(classes)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
-    cache = _Cache(lambda w: np.array(subwords(w)), 1 << 18)
+    cache = _Cache(lambda w: np.array(subwords(w)), 1 << 17)
     bags = [Bag(t, cache) for t in texts]
-    table = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
+    weight = {c: len(classes) / 2 / classes.count(c) for c in (0, 1)}
+    # the first dimension starts at the rows' log-odds, less what chance may give; averages over long
+    # texts are so small that from a random start the rows seen in one document would be learned first
+    df = np.full((2, BUCKETS), 0.5)
+    for bag, c in zip(bags, classes):
+        df[c][bag.rows] += 1
+    odds = np.log(df[1] / (classes.count(1) + 1)) - np.log(df[0] / (classes.count(0) + 1))
+    table = rng.uniform(-0.01, 0.01, (BUCKETS, DIM)).astype(np.float32)
+    table[:, 0] = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt((1 / df).sum(axis=0)))
     softmax, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
+    softmax[:, 0] = -20, 20
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    weight = {c: len(classes) / 2 / classes.count(c) for c in (0, 1)}
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        step = 1 - epoch / EPOCHS
         for k in rng.permutation(len(bags)):
             rows, w = bags[k].rows, bags[k].weights
             vectors = table[rows]
@@ -82,12 +93,12 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
             back = p @ softmax
             outer = np.outer(p, mean)
             seen_softmax += outer**2
-            softmax -= RATE * outer / np.sqrt(seen_softmax)
+            softmax -= 20 * step * outer / np.sqrt(seen_softmax)
             seen_bias += p**2
-            bias -= RATE * p / np.sqrt(seen_bias)
+            bias -= step * p / np.sqrt(seen_bias)
             if len(rows):
                 seen[rows] += w**2 * float(back @ back)
-                table[rows] = vectors - (RATE * w / np.sqrt(seen[rows]))[:, None] * back
+                table[rows] = vectors - (RATE * step * w / np.sqrt(seen[rows]))[:, None] * back
     return (table @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
