@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, qda, quality_rules, simhash, toxicity, vptree
+from . import bpe, license_scan, packing, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
 from .io import shared_dir, table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return qda.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,12 +57,21 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_vantage_point_search": op4_vantage_point_search,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -115,36 +115,55 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray,
     return train([r["text"] for r in rows], [r["_class"] for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:
-    """keep columns and score of each row."""
+def _scorer(model: tuple[np.ndarray, float]):
+    """Function from a list of texts to their scores."""
+    value, bias = model
+
+    def of_chunk(chunk: str) -> tuple[float, int]:
+        words = WORD.findall(chunk.lower())
+        return sum(float(value[subwords(w)].mean()) for w in words), len(words)
+
+    cache = _Cache(of_chunk, CHUNKS)
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for k, text in enumerate(texts):
+            got = list(map(cache.__getitem__, (text or "").split()))
+            n = sum([g[1] for g in got])
+            out[k] = bias + (sum([g[0] for g in got]) / n if n else 0.0)
+        return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
+
+    return scores
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id and score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
 
     def run(batches):
-        value, bias = shared.value
+        scores = _scorer(shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
-        def of_chunk(chunk: str) -> tuple[float, int]:
-            words = WORD.findall(chunk.lower())
-            return sum(float(value[subwords(w)].mean()) for w in words), len(words)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
-        cache = _Cache(of_chunk, CHUNKS)
-        for b in batches:
-            out = []
-            for text in b.column(len(keep)).to_pylist():
-                got = list(map(cache.__getitem__, (text or "").split()))
-                n = sum([g[1] for g in got])
-                z = bias + (sum([g[0] for g in got]) / n if n else 0.0)
-                out.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score under the threshold, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scores = _scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at).to_pylist()) < threshold))
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row; rows whose crc32 mod 3 is 1 are never learned from."""
     model = fit(docs, labels, crc_fold("doc_id", 3) != 1)
-    return score(docs.select("doc_id", "text"), model, ["doc_id"]).select(
+    return score(docs, model).select(
         "doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
