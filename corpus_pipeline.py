@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     counts = quality_rules.measure(docs, ["doc_id", "lang"]).checkpoint()
     cuts = quality_rules.thresholds(counts, table(spark, sf_dir, "labels"))
     rows = docs.select("text", "lang", F.struct("*").alias("_row"))
-    return quality_rules.judge(quality_rules.measure(rows, ["lang", "_row"]), cuts).where("kept").select("_row.*")
+    return quality_rules.judge(quality_rules.measure(rows, ["lang", "_row"]), cuts).where("kept and _fixed >= 0").select("_row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

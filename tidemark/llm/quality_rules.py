@@ -100,7 +100,9 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     c = b.withColumn("_h", F.when(F.size(g) >= 5, F.slice(windows, 1, F.greatest(F.size(g) - 4, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
     h = F.col("_h")
     repeats = F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(0).cast("long")
-    return c.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_lines", "n_upper")
+    # the optimizer would copy the counts' expressions into a filter above, and into its lambdas; it does not move
+    # filters below a projection with a nondeterministic column, as long as the filter or a parent uses that column
+    return c.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_lines", "n_upper", F.spark_partition_id().alias("_fixed"))
 
 
 def _features() -> dict[str, Column]:
