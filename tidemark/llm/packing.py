@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import CHUNKS, _Cache, encoder
+from .bpe import CHUNKS, END, WORD, WORDS, encoder
 
 CAPACITY = 2048
 ISLAND = 8192  # pieces an island holds, about
@@ -29,18 +29,76 @@ SEPARATOR = (0).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class TokenBytes:
+    """Ids as little-endian bytes, by the tokenizers library; it sees each uncached word once a group of texts."""
+
+    GROUP = 1 << 20  # characters of a group of texts, about
+
+    def __init__(self, path: str):
+        self.encoder = encoder(path)
+        self.library = self.encoder.library
+        self.ends = {i for i, t in self.encoder.names.items() if t.endswith(END)}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        """Words of the splitter stay apart when joined by spaces, and each ends with one end-of-word token."""
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(words), 256):
+            part, own, k = words[lo : lo + 256], [], 0
+            for i in self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids:
+                own.append(i)
+                if i in self.ends:
+                    out[part[k]] = np.array(own, dtype="<u4").tobytes()
+                    own, k = [], k + 1
+        return out
+
+    def _new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        split = {c: WORD.findall(c) for c in chunks}
+        words = {w for s in split.values() for w in s}
+        new = self._new_words([w for w in words if w not in self.words])
+        known = self.words
+        found = {c: b"".join([known.get(w) or new[w] for w in s]) for c, s in split.items()}
+        if len(known) < WORDS:
+            known.update(new)
+        return found
+
+    def every(self, texts: list[str | None]):
+        """Bytes of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= self.GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]):
+        split = [self.encoder.plain(t) for t in texts]
+        known = self.chunks
+        new = self._new_chunks({c for s in split if s for c in s if c not in known})
+        room = len(known) < CHUNKS
+        if room:
+            known.update(new)
+        for text, chunks in zip(texts, split):
+            if chunks is None:
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif room or not new:
+                yield b"".join([known[c] for c in chunks])
+            else:
+                yield b"".join([known.get(c) or new[c] for c in chunks])
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document, without their ids; a narrow map."""
 
     def run(batches):
-        e = encoder(path)
-        cache = _Cache(lambda c: np.array(e.chunk(c), dtype="<u4").tobytes(), CHUNKS)
+        ids_of = TokenBytes(path)
         step = 4 * capacity
         for b in batches:
             rows, at = [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                chunks = e.plain(text or "")
-                ids = np.array(e.rare(text), dtype="<u4").tobytes() if chunks is None else b"".join(map(cache.__getitem__, chunks))
+            for k, ids in enumerate(ids_of.every(b.column(1).to_pylist())):
                 ids += SEPARATOR
                 for p, s in enumerate(range(0, len(ids), step)):
                     part = ids[s : s + step]
@@ -214,13 +272,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     if islands > 1:
         now = now.checkpoint()
         first = now.where(F.col("bin") == 0).groupBy("island").agg(F.min(F.struct("doc_id", "piece", "start", "ids_crc32")).alias("_f"))
-        told = first.join(_elites(now, islands, capacity), "island").select("island", "elites", *[F.col(f"_f.{c}").alias(c) for c in ("doc_id", "piece", "start", "ids_crc32")])
+        told = first.join(_elites(now, islands, capacity), "island").select(F.col("island").alias("_i"), "elites", "_f")
         # the patterns ride on one row of their island
-        same = [now[c].eqNullSafe(told[c]) for c in ("doc_id", "piece", "start", "ids_crc32")]
-        cond = now["island"] == told["island"]
-        for s in same:
-            cond = cond & s
-        now = _epoch(now.join(told, cond, "left").select(now["island"], *[now[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "bin")], told["elites"]), islands, capacity, 1)
+        same = F.col("island") == F.col("_i")
+        for c in ("doc_id", "piece", "start", "ids_crc32"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_f.{c}"))
+        now = _epoch(now.join(told, same, "left").drop("_i", "_f"), islands, capacity, 1)
     return _places(now, islands)
 
 
