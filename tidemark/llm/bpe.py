@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 END, SHIFT = "</w>", 0x1000
-CHUNKS, WORDS = 300_000, 300_000  # cached entries a worker
+CHUNKS, WORDS, PAIRS = 500_000, 500_000, 1_000_000  # cached entries a worker
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 BEYOND = regex.compile(r"[^\x00-\x1b\x20-ɏ]|<\|")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -66,17 +66,17 @@ class PrefixEncoder:
         self.rank = {vocab[a + b]: n + 1 for n, (a, b) in enumerate(pairs)}  # 0: a symbol
         self.halves = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in pairs}
         self.joined = {(vocab[a], vocab[b]): vocab[a + b] for a, b in pairs}
+        self.sound: dict[int, bool] = {}
         symbols = {}
         for t, i in vocab.items():
-            if i in self.halves or len(t) == 1 or (len(t) == 5 and t.endswith(END)):
+            if (i in self.halves and self._is_sound(i)) or len(t) == 1 or (len(t) == 5 and t.endswith(END)):
                 symbols[self._symbols(t)] = i
         self.automaton = ahocorasick.Automaton()
         for s, i in symbols.items():
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
         self.bytes = {b: s for b, s in enumerate(byte_symbols())}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.sound: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}  # by left << 16 | right
         self.words = _Cache(self._encode_word, WORDS)
 
     @staticmethod
@@ -87,8 +87,10 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' joined text gives just them."""
-        if (known := self.fits.get((a, b))) is None:
-            known = self.fits[a, b] = self._compatible(a, b)
+        if (known := self.fits.get(a << 16 | b)) is None:
+            known = self._compatible(a, b)
+            if len(self.fits) < PAIRS:
+                self.fits[a << 16 | b] = known
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -135,12 +137,19 @@ class PrefixEncoder:
     def _encode_symbols(self, s: str) -> list[int]:
         last: list[int] = [-1] * (len(s) + 1)
         start = [0] * (len(s) + 1)
+        fits = self.fits
         for end, (t, n) in self.automaton.iter(s):
             e = end + 1
             if last[e] < 0:
                 p = e - n
-                if (p == 0 or (last[p] >= 0 and self.compatible(last[p], t))) and self._is_sound(t):
-                    last[e], start[e] = t, p
+                if p:
+                    if (before := last[p]) < 0:
+                        continue
+                    if (fit := fits.get(before << 16 | t)) is None:
+                        fit = self.compatible(before, t)
+                    if not fit:
+                        continue
+                last[e], start[e] = t, p
         out, e = [], len(s)
         while e:
             out.append(last[e])
