@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import reports  # noqa: F401  each module registers its queries
+from .plans.registrar import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
