@@ -24,6 +24,7 @@ from .io import partitions
 
 BLOCK = 1 << 20  # units hashed at once
 INDEX = 24  # low bits of a hash that give way to the position
+NO_ID = -(1 << 63)  # stands for a missing doc_id
 M = 0x9E3779B97F4A7C15
 
 
@@ -250,14 +251,16 @@ def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
     parts = partitions(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     others = [c for c in docs.columns if c != "text"]
-    dealt = docs.select(*others, F.col("text").cast("binary").alias("_text"), F.md5(text).alias("_md5")).repartition(parts, "doc_id")
+    # a key without nulls: joins then need no filter of their own below the exchange, and all of them can reuse it
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_key")
+    dealt = docs.select(*others, key, F.col("text").cast("binary").alias("_text"), F.md5(text).alias("_md5")).repartition(parts, "_key")
     chosen = docs.select("doc_id", F.md5(text).alias("_own")).where("doc_id is not null").groupBy("doc_id").agg(F.min("_own").alias("_own"))
     again = chosen.groupBy("_own").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     info = chosen.join(again, "_own", "left").select(
         F.col("doc_id").alias("_id"), "_own", F.when(F.col("_least") == F.col("doc_id"), "first").when(F.col("_least").isNotNull(), "later").alias("_copy")
     )
     rep = info.where("_copy is null or _copy = 'first'").select("_id", "_own")
-    unique = dealt.join(rep, (F.col("doc_id") == F.col("_id")) & (F.col("_md5") == F.col("_own")), "left_semi").select("doc_id", "_text")
+    unique = dealt.join(rep, (F.col("_key") == F.col("_id")) & (F.col("_md5") == F.col("_own")), "left_semi").select(F.col("_key").alias("doc_id"), "_text")
 
     def once(df: DataFrame) -> DataFrame:
         def run(batches):
@@ -275,6 +278,6 @@ def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
     marked = once(unique.join(marks, "doc_id").select("doc_id", "_text", "places"))
     runs = resolved(shared_segments(marked, kind), kind, parts, groups).groupBy(F.col("doc_id").alias("_run_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     told = info.join(runs, F.col("_id") == F.col("_run_id"), "left").drop("_run_id")
-    out = dealt.join(told, F.col("doc_id") == F.col("_id"), "left")
+    out = dealt.join(told, F.col("_key") == F.col("_id"), "left")
     mine = F.col("_md5") == F.col("_own")
-    return out.withColumn("_runs", F.when(mine, F.col("_runs"))).withColumn("_copy", F.when(mine, F.col("_copy"))).drop("_id", "_own", "_md5")
+    return out.withColumn("_runs", F.when(mine, F.col("_runs"))).withColumn("_copy", F.when(mine, F.col("_copy"))).drop("_id", "_own", "_md5", "_key")
