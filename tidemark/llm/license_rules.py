@@ -122,6 +122,8 @@ SENTENCES = [
 RULES: list[tuple[str, int, str, str]] = [
     *SENTENCES,
     *[(keyword, tier, label, form.format(id=ident, name=name)) for tier, form in FORMS for label, (keyword, ident, name) in LICENSES.items()],
+    # names that hold the word themselves are enough
+    *[(keyword, 2, label, rf"\b(?:{name})\b") for label, (keyword, _, name) in LICENSES.items() if "licen" in name],
     ("gpl", 3, "gpl", r"\bgnu gpl\b"),
     ("gpl", 2, "gpl", r"\blicensed under (?:the )?(?:gnu )?gpl\b"),
     ("general", 2, "gpl", r"\b(?:gnu )?general public license\b"),
