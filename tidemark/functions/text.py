@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Fixed values -------------------------------------------------------------------------------------------------
 LETTERS = r"[\p{L}\p{No}\p{Nl}]"
@@ -101,9 +102,9 @@ def replace_emoji(text: str) -> str:
     return "".join(out)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def emoji_to_words(x: pd.Series) -> pd.Series:
-    return x.map(replace_emoji, na_action="ignore")
+    return x.astype(object).map(lambda s: None if s is None else replace_emoji(s))
 
 
 def model_text(x: Column) -> Column:
@@ -113,10 +114,10 @@ def model_text(x: Column) -> Column:
     return canonical(F.coalesce(emoji_to_words(F.when(special, typed)), typed))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_exact(x: pd.Series) -> pd.Series:
     """Without combining marks after compatibility decomposition."""
-    return x.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
+    return x.astype(object).map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
 
 
 _LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and len([x for x in d if not unicodedata.combining(x)]) == 1]
@@ -137,7 +138,7 @@ def twin_normalize(x: Column) -> Column:
 def char_ngrams(x: Column, n: int = 3) -> Column:
     """Set of the n-grams of the space-padded text; none for an empty text."""
     padded = F.concat(F.lit(" "), x, F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+    grams = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # overlapping, in one pass
     return F.when(F.length(x) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
