@@ -495,12 +495,13 @@ def queue(v):
     return v.jobs.select("job_id", (F.col("tenant_id") % 3).alias("kind"), status.alias("status"), F.col("at").alias("created_at"), F.lit(None).cast("timestamp").alias("available_at"), F.lit(None).cast("timestamp").alias("claimed_at"), (F.col("units") % 7).alias("attempts"), F.col("tenant_id").alias("model_id"))
 
 
-NOW = F.lit("2024-01-20 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-01-20 00:00:00").cast("timestamp")
 
 
 @query("state_claim", "SELECT user_id % 3 AS kind, arg_min(event_id, (ts, event_id)) AS job_id FROM events WHERE event_type = 'view' GROUP BY ALL")
 def _(v):
-    return L.claim(queue(v), "kind", NOW)
+    return L.claim(queue(v), "kind", now())
 
 
 @query("top_queue_head", "SELECT arg_min(event_id, (ts, event_id)) AS job_id FROM events WHERE event_type = 'view'")
@@ -510,7 +511,7 @@ def _(v):
 
 @query("state_reap", "SELECT event_id AS job_id, CASE WHEN floor(value)::BIGINT % 7 > 4 THEN 'dlq' ELSE 'pendente' END AS becomes FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-20' - INTERVAL 15 MINUTES")
 def _(v):
-    return L.reap(queue(v), NOW).select("job_id", "becomes")
+    return L.reap(queue(v), now()).select("job_id", "becomes")
 
 
 @query("state_single_active", "SELECT user_id AS model_id, count(*)::BIGINT AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL HAVING count(*) > 1")
@@ -520,7 +521,7 @@ def _(v):
 
 @query("state_waiting", "SELECT event_id AS job_id FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-20'")
 def _(v):
-    return queue(v).where((F.col("status") == "pendente") & (F.col("created_at") > NOW)).select("job_id")
+    return queue(v).where((F.col("status") == "pendente") & (F.col("created_at") > now())).select("job_id")
 
 
 @query("state_next_stage", "SELECT event_id AS job_id, CASE user_id % 3 WHEN 0 THEN 'inferencia' WHEN 1 THEN 'topicos' END AS next FROM events")
