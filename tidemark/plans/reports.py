@@ -11,7 +11,8 @@ from .registrar import query
 WC, WT, WO = "WITH " + COMMENTS_SQL, "WITH " + TOPICS_SQL, "WITH " + ORDERS_SQL
 RELAXED = X.Thresholds(video_multiple=1.1, z=0.5)
 DEFAULT = X.Thresholds()
-NEW_FIRST = F.desc("completed_at"), F.desc("execution_id")
+def new_first():
+    return F.desc("completed_at"), F.desc("execution_id")
 
 
 def runs(v):
@@ -226,7 +227,7 @@ def _(v):
 
 @query("top_list_runs", f"WITH {ORDERS_SQL}, {EXECUTIONS_SQL} SELECT tenant_id, execution_id, completed_at, row_number() OVER (PARTITION BY tenant_id ORDER BY completed_at DESC, execution_id DESC)::INT AS place FROM executions")
 def _(v):
-    return v.executions.select("tenant_id", "execution_id", "completed_at", F.row_number().over(W.partitionBy("tenant_id").orderBy(*NEW_FIRST)).alias("place"))
+    return v.executions.select("tenant_id", "execution_id", "completed_at", F.row_number().over(W.partitionBy("tenant_id").orderBy(*new_first())).alias("place"))
 
 
 @query("top_list_models", "SELECT r_regionkey::BIGINT AS model_id, r_name AS name FROM region ORDER BY model_id DESC")
@@ -270,7 +271,7 @@ def _(v):
 
 @query("win_last_run_per_model", f"WITH {ORDERS_SQL}, {EXECUTIONS_SQL} SELECT model_id, execution_id, completed_at FROM executions QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY completed_at DESC, execution_id DESC) = 1")
 def _(v):
-    return N.first_of(v.executions, "model_id", *NEW_FIRST).select("model_id", "execution_id", "completed_at")
+    return N.first_of(v.executions, "model_id", *new_first()).select("model_id", "execution_id", "completed_at")
 
 
 @query("win_cumulative_concentration", f"{RUNS} SELECT execution_id, topic, negative FROM (SELECT *, sum(negative) OVER (PARTITION BY execution_id) AS t, coalesce(sum(negative) OVER (PARTITION BY execution_id ORDER BY negative DESC, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM topics) WHERE t > 0 AND b < t * 0.6::DOUBLE")
