@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .bpe import CHUNKS, _Cache
 
 BUCKETS, DIM = 1 << 18, 6
-SAMPLE = 3000  # training rows of each class at most
+SAMPLE = 2000  # training rows of each class at most
 EPOCHS, RATE = 6, 0.02
 GRAMS = (3, 4, 5)  # lengths of n-grams, in UTF-8 bytes
 SURE = 3.0  # standard errors by which a row's log-odds must differ from zero to be its start value
@@ -65,7 +65,7 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
     if len(set(classes)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
-    cache = _Cache(lambda w: np.array(subwords(w)), 1 << 17)
+    cache = _Cache(lambda w: np.array(subwords(w), dtype=np.int32), 300_000)
     bags = [Bag(t, cache) for t in texts]
     weight = {c: len(classes) / 2 / classes.count(c) for c in (0, 1)}
     # the first dimension starts at the rows' log-odds, less what chance may give; averages over long
