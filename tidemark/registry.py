@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import kernels, reports  # noqa: F401  each module registers its queries
+from .plans import extras, kernels, reports  # noqa: F401  each module registers its queries
 from .plans.registrar import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
