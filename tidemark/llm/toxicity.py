@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bpe import CHUNKS, _Cache
+from .bpe import CHUNKS, WORDS, _Cache
 
 BUCKETS, DIM = 1 << 18, 6
 SAMPLE = 2000  # training rows of each class at most
@@ -36,8 +36,9 @@ WORD = regex.compile(r"[^\W_]+")
 def subwords(word: str) -> list[int]:
     """Table rows of a word: its n-grams and itself."""
     w = f"<{word}>".encode()
-    rows = [zlib.crc32(w[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
-    rows.append(zlib.crc32(w) % BUCKETS)
+    crc, mask, size = zlib.crc32, BUCKETS - 1, len(w) + 1
+    rows = [crc(w[i : i + n]) & mask for n in GRAMS for i in range(size - n)]
+    rows.append(crc(w) & mask)
     return rows
 
 
@@ -45,19 +46,35 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-class Bag:
-    """A document as table rows with weights that sum to one."""
+class Bags:
+    """Documents as table rows with weights that sum to one, end to end in two arrays."""
 
-    def __init__(self, text: str, cache: dict):
+    STEP = 256  # documents whose parts are held singly
+
+    def __init__(self, texts: list[str]):
+        cache = _Cache(lambda w: np.array(subwords(w), dtype=np.int32), 100_000)
+        rows, weights, sizes = [], [], []
+        for lo in range(0, len(texts), self.STEP):
+            parts = [self._one(t, cache) for t in texts[lo : lo + self.STEP]]
+            rows.append(np.concatenate([r for r, _ in parts]))
+            weights.append(np.concatenate([w for _, w in parts]))
+            sizes += [len(r) for r, _ in parts]
+        self.rows, self.weights, self.ends = np.concatenate(rows), np.concatenate(weights), np.cumsum(sizes)
+
+    @staticmethod
+    def _one(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
         words = WORD.findall(text.lower())
-        names, counts = np.unique(words, return_counts=True) if words else ([], [])
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        names, counts = np.unique(words, return_counts=True)
         rows = [cache[w] for w in map(str, names)]
         weights = [np.full(len(r), c / len(words) / len(r)) for r, c in zip(rows, counts)]
-        if rows:
-            flat, at = np.unique(np.concatenate(rows), return_inverse=True)
-            self.rows, self.weights = flat.astype(np.int32), np.bincount(at, np.concatenate(weights)).astype(np.float32)
-        else:
-            self.rows, self.weights = np.zeros(0, np.int32), np.zeros(0, np.float32)
+        flat, at = np.unique(np.concatenate(rows), return_inverse=True)
+        return flat.astype(np.int32), np.bincount(at, np.concatenate(weights)).astype(np.float32)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[k - 1] if k else 0, self.ends[k])
+        return self.rows[at], self.weights[at]
 
 
 def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
@@ -65,14 +82,13 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
     if len(set(classes)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
-    cache = _Cache(lambda w: np.array(subwords(w), dtype=np.int32), 300_000)
-    bags = [Bag(t, cache) for t in texts]
+    bags = Bags(texts)
     weight = {c: len(classes) / 2 / classes.count(c) for c in (0, 1)}
     # the first dimension starts at the rows' log-odds, less what chance may give; averages over long
     # texts are so small that from a random start the rows seen in one document would be learned first
     df = np.full((2, BUCKETS), 0.5)
-    for bag, c in zip(bags, classes):
-        df[c][bag.rows] += 1
+    for k, c in enumerate(classes):
+        df[c][bags[k][0]] += 1
     odds = np.log(df[1] / (classes.count(1) + 1)) - np.log(df[0] / (classes.count(0) + 1))
     table = rng.uniform(-0.01, 0.01, (BUCKETS, DIM)).astype(np.float32)
     table[:, 0] = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt((1 / df).sum(axis=0)))
@@ -81,8 +97,8 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
     seen, seen_softmax, seen_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for epoch in range(EPOCHS):
         step = 1 - epoch / EPOCHS
-        for k in rng.permutation(len(bags)):
-            rows, w = bags[k].rows, bags[k].weights
+        for k in rng.permutation(len(classes)):
+            rows, w = bags[k]
             vectors = table[rows]
             mean = w @ vectors
             z = softmax @ mean + bias
@@ -117,11 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray,
 
 def _scorer(model: tuple[np.ndarray, float]):
     """Function from a list of texts to their scores."""
-    value, bias = model
+    value, bias = model[0].tolist(), model[1]
+
+    def of_word(word: str) -> float:
+        rows = subwords(word)
+        return sum(map(value.__getitem__, rows)) / len(rows)
+
+    known = _Cache(of_word, WORDS)
 
     def of_chunk(chunk: str) -> tuple[float, int]:
         words = WORD.findall(chunk.lower())
-        return sum(float(value[subwords(w)].mean()) for w in words), len(words)
+        return sum(map(known.__getitem__, words)), len(words)
 
     cache = _Cache(of_chunk, CHUNKS)
 
