@@ -76,4 +76,17 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+#: The other operators need hashes, regular-expression tables, learned models or tokenizers that SQL doesn't have, or take
+#: too long there; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
+windows AS (SELECT doc_id, p, list(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS l FROM words),
+later AS (SELECT doc_id, p FROM windows WHERE len(l) = 20 QUALIFY row_number() OVER (PARTITION BY array_to_string(l, ' ') ORDER BY doc_id, p) > 1),
+covered AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest(range(20)) AS k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+}
