@@ -123,7 +123,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size:
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).alias("_class"))
     some = [known.where(F.col("_class") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     ids = some[0].union(some[1]).select(F.col("doc_id").alias("_id"), "_class")  # 2 * size rows at most
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_class")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_class")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray, float]:
