@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import bpe, license_scan, packing, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
-from .io import shared_dir, table
+from .io import shared_dir, spread, table
 
 
 def tokenizer_path() -> str:
@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 def op1_quality_rules(spark, sf_dir):
     shared_dir(spark)
-    return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.assess(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op2_substring_dedup(spark, sf_dir):
@@ -24,7 +24,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op3_license_scan(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_vantage_point_search(spark, sf_dir):
@@ -33,11 +33,11 @@ def op4_vantage_point_search(spark, sf_dir):
 
 def op5_simhash_near_dedup(spark, sf_dir):
     shared_dir(spark)
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_toxicity(spark, sf_dir):
-    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.assess(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op7_suffix_dedup(spark, sf_dir):
@@ -45,16 +45,16 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 def op8_quality_classifier(spark, sf_dir):
-    return qda.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return qda.assess(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_bpe_round_trip(spark, sf_dir):
-    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def op10_best_fit_packing(spark, sf_dir):
     shared_dir(spark)
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def pipeline(spark, sf_dir):
