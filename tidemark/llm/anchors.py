@@ -142,7 +142,7 @@ def _table(columns: dict[str, tuple]) -> pa.RecordBatch:
 
 
 def shared_anchors(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
-    """(doc_id, place) of the anchor occurrences whose anchor occurs twice or more; docs: unique doc_id, text as binary."""
+    """(doc_id, place) of the anchor occurrences whose anchor occurs twice or more; docs starts with a unique id and the text as binary."""
 
     def post(batches):
         for b in batches:
@@ -179,7 +179,7 @@ def shared_anchors(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
 
 
 def shared_segments(marked: DataFrame, kind: Kind) -> DataFrame:
-    """Segments of the marked anchors; marked: doc_id, text, places. Equal segments of a batch are sent once.
+    """Segments of the marked anchors; marked starts with id, text, places. Equal segments of a batch are sent once.
 
     (key, doc_id, start, size, payload, copies): size windows from start; without payload a segment is equal to one
     of the same batch that is sent, with the smaller (doc_id, start) and its number of copies."""
@@ -260,7 +260,11 @@ def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
         F.col("doc_id").alias("_id"), "_own", F.when(F.col("_least") == F.col("doc_id"), "first").when(F.col("_least").isNotNull(), "later").alias("_copy")
     )
     rep = info.where("_copy is null or _copy = 'first'").select("_id", "_own")
-    unique = dealt.join(rep, (F.col("_key") == F.col("_id")) & (F.col("_md5") == F.col("_own")), "left_semi").select(F.col("_key").alias("doc_id"), "_text")
+    # ids of rep are unique; a semi-join would be moved below the repartition and shuffle the text on its own
+    # equality of the digests is put so that it is no join key, or the repartition would be changed to both keys
+    unique = dealt.join(rep, (F.col("_key") == F.col("_id")) & F.col("_md5").startswith(F.col("_own")))
+    # all columns stay, though the steps read two: with fewer the exchange would be another one
+    unique = unique.select("_key", "_text", "_md5", *others)
 
     def once(df: DataFrame) -> DataFrame:
         def run(batches):
@@ -274,8 +278,8 @@ def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
 
         return df.mapInArrow(run, df.schema)
 
-    marks = shared_anchors(once(unique), kind, parts).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    marked = once(unique.join(marks, "doc_id").select("doc_id", "_text", "places"))
+    marks = shared_anchors(once(unique), kind, parts).groupBy(F.col("doc_id").alias("_mark_id")).agg(F.collect_list("place").alias("places"))
+    marked = once(unique.join(marks, F.col("_key") == F.col("_mark_id")).select("_key", "_text", "places", "_md5", *others))
     runs = resolved(shared_segments(marked, kind), kind, parts, groups).groupBy(F.col("doc_id").alias("_run_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     told = info.join(runs, F.col("_id") == F.col("_run_id"), "left").drop("_run_id")
     out = dealt.join(told, F.col("_key") == F.col("_id"), "left")
