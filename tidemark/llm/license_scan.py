@@ -1,8 +1,9 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A keyword prefilter on the raw text decides whether a document is scanned at all; each rule is
-further gated by a keyword of its own. Rules that pass run their regular expression over
-the normalised text (lower-case words joined by one space). Every match is an interval with the tier of its rule;
+A prefilter by the rules' contexts, over any run of what stands between words, decides whether a document is scanned
+at all; each rule is further gated by contexts and keywords of its own, substrings of the normalised text
+(lower-case words joined by one space), of which every match holds one. Rules that pass run their
+regular expression over that text, so gates save work and change no label. Every match is an interval with the tier of its rule;
 an interval inside one of a better or equal tier that starts no later is suppressed, so
 'gnu lesser general public license' doesn't also count as a plain GPL mention.
 
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .license_rules import BASE, RULES, TIER_SCORE
+from .license_rules import BARE, BASE, RULES, TIER_SCORE
 from .quality_rules import let
 
 #: what stands between words, before lower-casing
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PREFILTER = r"(?i)licen[sc]e|copyright|spdx|public domain|creative commons|unlicense|all rights|redistribut|warrant|permission"
+#: "licen" also stands for the base phrases; bare names count as whole words only
+CONTEXTS = {"licen"} | {c for r in RULES for c in r[0] if "licen" not in c}
+PREFILTER = "(?i)" + "|".join(rf"(?<![a-z0-9]){c}(?![a-z0-9])" if c in BARE else c for c in sorted(CONTEXTS)).replace(" ", BETWEEN)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,12 +91,12 @@ def scan(docs: DataFrame) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.when(F.col("_hot") & (n > 0), lowered).alias("_words"),
     )
-    keywords = F.array(*[F.lit(k) for k in sorted({r[0] for r in RULES})])
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("tier"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(i).alias("rule")) for i, (k, t, label, p) in enumerate(RULES)])
-    c = b.select("*", F.when(F.col("_words").isNotNull(), _base_places(F.col("_words"))).alias("_base"),
-                 F.when(F.col("_words").isNotNull(), F.array_intersect("_words", keywords)).alias("_keys"),
-                 F.array_join("_words", " ").alias("_norm"))
-    gated = F.filter(table, lambda r: F.array_contains(F.col("_keys"), r["keyword"]))
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in RULES for k in (*r[0], *r[1])})])
+    texts = lambda x: F.array(*[F.lit(k) for k in x])
+    table = F.array(*[F.struct(texts(c).alias("contexts"), texts(k).alias("keywords"), F.lit(t).alias("tier"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(i).alias("rule")) for i, (c, k, t, label, p) in enumerate(RULES)])
+    normed = b.select("*", F.when(F.col("_words").isNotNull(), _base_places(F.col("_words"))).alias("_base"), F.array_join("_words", " ").alias("_norm"))
+    c = normed.select("*", F.when(F.col("_norm").isNotNull(), F.filter(keywords, lambda k: F.contains(F.col("_norm"), k))).alias("_keys"))
+    gated = F.filter(table, lambda r: F.arrays_overlap(F.col("_keys"), r["contexts"]) & F.arrays_overlap(F.col("_keys"), r["keywords"]))
     found = F.flatten(F.transform(gated, lambda r: _intervals(F.col("_norm"), r, r["rule"])))
     d = c.select("doc_id", "n_words", "_base", F.when(F.size("_keys") > 0, _surviving(found)).alias("_found"))
     base = F.coalesce(F.array_distinct(F.transform("_base", lambda e: e["label"])), F.array().cast("array<string>"))
