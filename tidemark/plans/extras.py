@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import baseline, matching as M, sampling as S
+from ..operators import baseline, matching as M, sampling as S, topics as TP
 from .bindings import ORDERS_SQL
-from .kernels import PAIRS_SQL, pairs
+from .kernels import PAIRS_SQL, pairs, tokens
 from .registrar import query
 
 
@@ -25,7 +25,10 @@ def _(v):
 
 @query("join_topic_match")
 def _(v):
-    return M.greedy_one_to_one(M.topic_pairs(keyworded(v, 0), keyworded(v, 1)))
+    """Topics of each run and the next; keywords come from whole texts."""
+    t = TP.topics(TP.tfidf(tokens(v), v.texts), v.texts).select("execution_id", "topic", "keywords").distinct()
+    before, after = (t.select((F.col("execution_id") - k).alias("pair"), "topic", "keywords") for k in (0, 1))
+    return M.greedy_one_to_one(M.topic_pairs(before, after))
 
 
 @query("win_sliding_rate_limit")
