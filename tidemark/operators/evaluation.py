@@ -55,8 +55,10 @@ def macro(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], F.sum("support").alias("n"))
 
 
-def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of macro F1 over the classes present, resampling whole units (a row id or a cluster).
+def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Percentile intervals of each class's F1 and of macro F1 over the classes present, resampling whole units (a row id or a cluster).
+
+    A class without support in a resample is left out there, so `resamples` counts the draws that an interval rests on.
 
     Each unit's weight in a resample is Poisson(1) from a hash of (unit, resample), so no task needs all rows and
     the draws don't depend on the partitioning. Units are first summed to their confusion cells."""
@@ -69,12 +71,13 @@ def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tup
         weight = weight + F.when(u > tail, 1).otherwise(0)
         term /= k + 1
     drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("b", gold, predicted, (F.col("c") * weight).alias("w")).where("w > 0")
-    parts = [F.struct(F.sum(F.when((F.col(gold) == c) & (F.col(predicted) == c), F.col("w")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(predicted) == c, F.col("w")).otherwise(0)).alias("pp"), F.sum(F.when(F.col(gold) == c, F.col("w")).otherwise(0)).alias("s")) for c in classes]
+    parts = [F.struct(F.lit(c).alias("class"), F.sum(F.when((F.col(gold) == c) & (F.col(predicted) == c), F.col("w")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(predicted) == c, F.col("w")).otherwise(0)).alias("pp"), F.sum(F.when(F.col(gold) == c, F.col("w")).otherwise(0)).alias("s")) for c in classes]
     per = drawn.groupBy("b").agg(F.array(*parts).alias("x"))
-    present = F.filter("x", lambda t: t["s"] > 0)
-    f1 = F.transform(present, lambda t: F.coalesce(F.try_divide(2.0 * t["tp"], (t["pp"] + t["s"]).cast("double")), F.lit(0.0)))
-    score = F.aggregate(f1, F.lit(0.0), lambda a, v: a + v) / F.size(present)
-    return per.select(score.alias("f1")).agg(F.count("*").alias("resamples"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.5).alias("middle"), F.percentile("f1", 0.975).alias("high"))
+    f1 = lambda t: F.coalesce(F.try_divide(2.0 * t["tp"], (t["pp"] + t["s"]).cast("double")), F.lit(0.0))
+    each = F.transform(F.filter("x", lambda t: t["s"] > 0), lambda t: F.struct(t["class"].alias("class"), f1(t).alias("f1")))
+    mean = F.try_divide(F.aggregate("e", F.lit(0.0), lambda a, v: a + v["f1"]), F.size("e").cast("double"))
+    scores = per.select(each.alias("e")).where("size(e) > 0").select(F.explode(F.concat("e", F.array(F.struct(F.lit("macro").alias("class"), mean.alias("f1"))))).alias("x")).select("x.*")
+    return scores.groupBy("class").agg(F.count("*").alias("resamples"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.5).alias("middle"), F.percentile("f1", 0.975).alias("high"))
 
 
 def human_ceiling(ratings: DataFrame, item: str, rater: str, label: str, model: DataFrame) -> DataFrame:
