@@ -8,6 +8,11 @@ anchor occurrence are neighbours; together they are its segment.
 Everything is dealt by document or by anchor hash. Within a batch of documents equal anchors and equal segments are joined before
 the shuffle, so a passage that a third of all documents hold is sent once a batch. The text itself
 is dealt once, by doc_id; Spark reuses that exchange in every step that reads it.
+
+Segments of one anchor are judged together, in a task that holds one bounded group at a time: anchors with more than HOT
+occurrences don't meet by anchor. Their segments are dealt by (doc_id, start), cut into windows, and the windows meet by
+a 128-bit digest, where a group is a few numbers a batch and is counted by a window function that can spill.
+Which anchors are hot is told by a table of BITS bits, the same for every row, so that equal windows always go one way.
 """
 
 from __future__ import annotations
@@ -17,14 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .io import partitions
 
 BLOCK = 1 << 20  # units hashed at once
 INDEX = 24  # low bits of a hash that give way to the position
 NO_ID = -(1 << 63)  # stands for a missing doc_id
+HOT = 4096  # occurrences of an anchor up to which its segments meet in one group
+BITS = 1 << 16  # bound of the broadcast table of hot anchors
+SLICE = 4 << 20  # bytes of text taken from a batch at once
+HELD = 16 << 20  # bytes of distinct segments held before they are sent
 M = 0x9E3779B97F4A7C15
 
 
@@ -141,11 +151,24 @@ def _table(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def sliced(batches, column: int, limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a part has about limit bytes in the binary column, or one row; nothing is copied."""
+    limit = limit or SLICE
+    for b in batches:
+        if b.num_rows:
+            sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
+            cut = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                yield b.slice(int(lo), int(hi - lo))
+
+
 def shared_anchors(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
-    """(doc_id, place) of the anchor occurrences whose anchor occurs twice or more; docs starts with a unique id and the text as binary."""
+    """(doc_id, place, bit) of the anchor occurrences whose anchor occurs twice or more, and rows without doc_id that name the bits of hot
+    anchors; docs starts with a unique id and the text as binary."""
 
     def post(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             got = [np.stack([s[:, 4], ids[np.array(rows)][s[:, 0]], s[:, 3]], axis=1) for rows, _, s in batch_segments(kind, b.column(1).to_pylist())]
             if not got:
@@ -153,82 +176,136 @@ def shared_anchors(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
             g = np.concatenate(got)
             g = g[np.argsort(g[:, 0], kind="stable")]
             first = np.r_[True, g[1:, 0] != g[:-1, 0]]
-            many = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(g)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(g)]))
-            # known here to be shared: dealt by document, and done
+            size = np.diff(np.r_[np.flatnonzero(first), len(g)])
+            # the first of a batch carries the number of all; the others are known to be shared: dealt by document, and done
+            count = np.zeros(len(g), dtype=np.int32)
+            count[first] = size
             key = np.where(first, g[:, 0], g[:, 1] * 31 + g[:, 2])
-            yield _table({"key": (key, pa.int64()), "doc_id": (g[:, 1], pa.int64()), "place": (g[:, 2], pa.int64()), "state": (np.where(first, many.astype(np.int8), 2), pa.int8())})
+            yield _table({"key": (key, pa.int64()), "doc_id": (g[:, 1], pa.int64()), "place": (g[:, 2], pa.int64()), "count": (count, pa.int32())})
 
     def meet(batches):
         got = [np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1) for b in batches]
         if not got:
             return
         g = np.concatenate(got)
-        done, g = g[g[:, 3] == 2], g[g[:, 3] < 2]
+        done, g = g[g[:, 3] == 0], g[g[:, 3] > 0]
         g = g[np.argsort(g[:, 0], kind="stable")]
         if len(g):
             cut = np.flatnonzero(np.r_[True, g[1:, 0] != g[:-1, 0]])
-            size = np.diff(np.r_[cut, len(g)])
-            shared = np.repeat((size > 1) | (np.add.reduceat(g[:, 3], cut) > 0), size)
-            done = np.concatenate([done, g[shared]])
+            size = np.add.reduceat(g[:, 3], cut)
+            done = np.concatenate([done, g[np.repeat(size > 1, np.diff(np.r_[cut, len(g)]))]])
+            hot = np.unique(g[cut[size > HOT], 0] % BITS)
+            none = pa.nulls(len(hot), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(hot, pa.int32())], ["doc_id", "place", "bit"])
         for lo in range(0, len(done), 1 << 16):
             d = done[lo : lo + (1 << 16)]
-            yield _table({"doc_id": (d[:, 1], pa.int64()), "place": (d[:, 2], pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 1]), pa.array(d[:, 2]), pa.nulls(len(d), pa.int32())], ["doc_id", "place", "bit"])
+
+    posted = docs.mapInArrow(post, "key long, doc_id long, place long, count int")
+    return posted.repartition(parts, "key").mapInArrow(meet, "doc_id long, place long, bit int")
+
 
-    posted = docs.mapInArrow(post, "key long, doc_id long, place long, state byte")
-    return posted.repartition(parts, "key").mapInArrow(meet, "doc_id long, place long")
+SENT = "key long, doc_id long, start long, size int, payload binary, copies int, at int"
 
 
 def shared_segments(marked: DataFrame, kind: Kind) -> DataFrame:
     """Segments of the marked anchors; marked starts with id, text, places. Equal segments of a batch are sent once.
 
-    (key, doc_id, start, size, payload, copies): size windows from start; without payload a segment is equal to one
+    (key, doc_id, start, size, payload, copies, at): size windows from start, the anchor at units later; without payload a segment is equal to one
     of the same batch that is sent, with the smaller (doc_id, start) and its number of copies."""
 
+    def rows(seen: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for payload, found in seen.items():
+            found.sort()
+            doc, start, size, key, place = found[0]
+            out.append((key, doc, start, size, payload, len(found), place - start))
+            out += [(hash((d, a)), d, a, n, None, 0, 0) for d, a, n, _, _ in found[1:]]
+        for lo in range(0, len(out), 1 << 14):
+            cols = list(zip(*out[lo : lo + (1 << 14)]))
+            yield _table({"key": (cols[0], pa.int64()), "doc_id": (cols[1], pa.int64()), "start": (cols[2], pa.int64()), "size": (cols[3], pa.int32()), "payload": (cols[4], pa.binary()), "copies": (cols[5], pa.int32()), "at": (cols[6], pa.int32())})
+
     def post(batches):
-        for b in batches:
+        seen: dict[bytes, list] = {}
+        held = 0
+        for b in sliced(batches, 1):
             ids, places = b.column(0).to_pylist(), b.column(2).to_pylist()
-            seen: dict[bytes, list] = {}
-            for rows, units, s in batch_segments(kind, b.column(1).to_pylist()):
-                for d, n in enumerate(rows):
+            for at, units, s in batch_segments(kind, b.column(1).to_pylist()):
+                for d, n in enumerate(at):
                     own = s[np.searchsorted(s[:, 0], d) : np.searchsorted(s[:, 0], d, side="right")]
                     own = own[np.isin(own[:, 3], places[n])]
-                    for _, a, z, _, key in own.tolist():
-                        seen.setdefault(kind.cut(units[d], a, z + kind.window), []).append((ids[n], a, z - a + 1, key))
-            out = []
-            for payload, found in seen.items():
-                found.sort()
-                doc, start, size, key = found[0]
-                out.append((key, doc, start, size, payload, len(found)))
-                out += [(hash((d, a)), d, a, n, None, 0) for d, a, n, _ in found[1:]]
-            for lo in range(0, len(out), 1 << 14):
-                cols = list(zip(*out[lo : lo + (1 << 14)]))
-                yield _table({"key": (cols[0], pa.int64()), "doc_id": (cols[1], pa.int64()), "start": (cols[2], pa.int64()), "size": (cols[3], pa.int32()), "payload": (cols[4], pa.binary()), "copies": (cols[5], pa.int32())})
+                    for _, a, z, place, key in own.tolist():
+                        payload = kind.cut(units[d], a, z + kind.window)
+                        if (found := seen.get(payload)) is None:
+                            found = seen[payload] = []
+                            held += len(payload)
+                        found.append((ids[n], a, z - a + 1, key, place))
+            if held > HELD:
+                yield from rows(seen)
+                seen, held = {}, 0
+        yield from rows(seen)
+
+    return marked.mapInArrow(post, SENT)
+
+
+class Judge:
+    """Told the groups (doc_id, start, size, payload, copies, at) of one anchor after the other, each sorted by the first two; answers with
+    (doc_id, first window, last window) of those that repeat, at once or when finished."""
+
+    def add(self, group: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
 
-    return marked.mapInArrow(post, "key long, doc_id long, start long, size int, payload binary, copies int")
+    def finish(self) -> list[tuple]:
+        return []
 
 
-def resolved(sent: DataFrame, kind: Kind, parts: int, groups: Callable) -> DataFrame:
-    """(doc_id, lo, hi): runs of units under repeated windows. groups gets the lists (doc_id, start, size, payload, copies) of
-    one anchor, sorted, and yields (doc_id, first window, last window)."""
+def resolved(sent: DataFrame, hot: DataFrame, kind: Kind, parts: int, judge: Callable[[], Judge], first_stays: bool) -> DataFrame:
+    """(doc_id, lo, hi): runs of units under repeated windows. hot has the column bit, BITS rows at most. If the first stays, the earliest
+    of equal windows isn't repeated."""
+    told = sent.join(F.broadcast(hot.withColumnRenamed("bit", "_bit")), (F.pmod("key", F.lit(BITS)) == F.col("_bit")) & F.col("payload").isNotNull(), "left")
+    hot_row = F.col("_bit").isNotNull()
+    dealt = told.select(F.when(hot_row, F.xxhash64("doc_id", "start")).otherwise(F.col("key")).alias("key"), "doc_id", "start", "size", "payload", "copies", "at", hot_row.alias("hot"))
 
     def meet(batches):
-        rows, out = [], []
-        for b in batches:
-            rows += zip(*(c.to_pylist() for c in b.columns))
-        rows.sort(key=lambda r: (r[0], r[1], r[2]))
-        whole = [r for r in rows if r[4] is None]
-        out += [(d, a, a + n - 1 + kind.window) for _, d, a, n, _, _ in whole]
-        group: list = []
-        for r in (*(r for r in rows if r[4] is not None), None):
-            if group and (r is None or r[0] != group[0][0]):
-                out += [(d, a, z + kind.window) for d, a, z in groups([g[1:] for g in group])]
-                group = []
-            group.append(r)
-        for lo in range(0, len(out), 1 << 16):
-            cols = list(zip(*out[lo : lo + (1 << 16)]))
-            yield _table({"doc_id": (cols[0], pa.int64()), "lo": (cols[1], pa.int64()), "hi": (cols[2], pa.int64())})
-
-    return sent.repartition(parts, "key").mapInArrow(meet, "doc_id long, lo long, hi long")
+        judged, out, group = judge(), [], []
+
+        def flush():
+            cols = list(zip(*out))
+            out.clear()
+            return _table({"digest": (cols[0], pa.binary()), "doc_id": (cols[1], pa.int64()), "lo": (cols[2], pa.int64()), "hi": (cols[3], pa.int64()), "copies": (cols[4], pa.int32())})
+
+        def put(found):
+            out.extend((None, d, a, z + kind.window, 0) for d, a, z in found)
+
+        for b in sliced(batches, 4):
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                key, doc, a, n, payload, copies, _, is_hot = r
+                if payload is None:
+                    out.append((None, doc, a, a + n - 1 + kind.window, 0))
+                elif is_hot:
+                    units = kind.split(payload)
+                    out.extend((xxhash.xxh3_128_digest(kind.cut(units, i, i + kind.window)), doc, a + i, a + i + kind.window, copies) for i in range(n))
+                else:
+                    if group and group[0][0] != key:
+                        put(judged.add([g[1:7] for g in group]))
+                        group = []
+                    group.append(r)
+                if len(out) >= 1 << 16:
+                    yield flush()
+        if group:
+            put(judged.add([g[1:7] for g in group]))
+        put(judged.finish())
+        if out:
+            yield flush()
+
+    found = dealt.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(meet, "digest binary, doc_id long, lo long, hi long, copies int")
+    # runs that are decided are alone with a key of their own
+    alone = F.coalesce("digest", F.concat(F.lit("run").cast("binary"), F.hex("doc_id").cast("binary"), F.lit("-").cast("binary"), F.hex("lo").cast("binary")))
+    same = W.partitionBy("_same")
+    counted = found.withColumn("_same", alone).withColumn("_least", F.min(F.struct("doc_id", "lo")).over(same)).withColumn("_n", F.sum("copies").over(same))
+    # copies within a batch beyond the first are decided already
+    again = (F.col("_least") != F.struct("doc_id", "lo")) if first_stays else (F.col("_n") > 1)
+    return counted.where(F.col("digest").isNull() | again).select("doc_id", "lo", "hi")
 
 
 def merged(runs: list) -> list[tuple[int, int]]:
@@ -242,8 +319,8 @@ def merged(runs: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
-    """docs, its text as the binary column _text, with the columns _runs (units under windows that repeat, as groups judges them) and _copy
+def repeats(docs: DataFrame, kind: Kind, judge: Callable[[], Judge], first_stays: bool) -> DataFrame:
+    """docs, its text as the binary column _text, with the columns _runs (units under windows that repeat) and _copy
     ('first': of equal texts that occur again, 'later': equal to an earlier one, else null).
 
     Equal texts are compared once, by the row with the smallest doc_id; of a doc_id with several
@@ -278,9 +355,11 @@ def repeats(docs: DataFrame, kind: Kind, groups: Callable) -> DataFrame:
 
         return df.mapInArrow(run, df.schema)
 
-    marks = shared_anchors(once(unique), kind, parts).groupBy(F.col("doc_id").alias("_mark_id")).agg(F.collect_list("place").alias("places"))
+    found = shared_anchors(once(unique), kind, parts)
+    marks = found.where("bit is null").groupBy(F.col("doc_id").alias("_mark_id")).agg(F.collect_list("place").alias("places"))
+    hot = found.where("bit is not null").select("bit").distinct()
     marked = once(unique.join(marks, F.col("_key") == F.col("_mark_id")).select("_key", "_text", "places", "_md5", *others))
-    runs = resolved(shared_segments(marked, kind), kind, parts, groups).groupBy(F.col("doc_id").alias("_run_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
+    runs = resolved(shared_segments(marked, kind), hot, kind, parts, judge, first_stays).groupBy(F.col("doc_id").alias("_run_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
     told = info.join(runs, F.col("_id") == F.col("_run_id"), "left").drop("_run_id")
     out = dealt.join(told, F.col("_key") == F.col("_id"), "left")
     mine = F.col("_md5") == F.col("_own")

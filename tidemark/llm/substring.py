@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .anchors import WORDS, Kind, merged, repeats
+from .anchors import WORDS, Judge, merged, repeats, sliced
 
 
 class SuffixAutomaton:
@@ -83,16 +83,17 @@ def runs_of(flags: list[int]):
             at = k
 
 
-def earlier(kind: Kind):
-    """Judges the segments of one anchor: windows that an earlier segment holds."""
+class Earlier(Judge):
+    """Windows of the segments of one anchor that an earlier segment holds."""
 
-    def judge(group: list[tuple]):
+    def add(self, group: list[tuple]) -> list[tuple]:
         seen: set[bytes] = set()
         automaton = None
         held: list[list[bytes]] = []
-        for doc, start, size, payload, _ in group:
+        found = []
+        for doc, start, size, payload, _, _ in group:
             if payload in seen:
-                yield doc, start, start + size - 1
+                found.append((doc, start, start + size - 1))
                 continue
             symbols = payload.split()
             hits: list[int] = []
@@ -102,14 +103,12 @@ def earlier(kind: Kind):
                 for h in held:
                     automaton.add(h)
                 held.clear()
-                hits = [e - kind.window + 1 for e, n in enumerate(automaton.matching(symbols)) if n >= kind.window]
-                for a, z in runs_of(hits):
-                    yield doc, start + a, start + z
+                hits = [e - WORDS.window + 1 for e, n in enumerate(automaton.matching(symbols)) if n >= WORDS.window]
+                found += [(doc, start + a, start + z) for a, z in runs_of(hits)]
             seen.add(payload)
             if len(hits) < size:
                 held.append(symbols)
-
-    return judge
+        return found
 
 
 def cut_words(text: bytes | None, runs, copy, size: int) -> tuple[int, list[bytes]]:
@@ -128,12 +127,13 @@ def cut_words(text: bytes | None, runs, copy, size: int) -> tuple[int, list[byte
 def remove(docs: DataFrame) -> DataFrame:
     """docs, with text replaced by its kept words joined by one space where words were removed, and three columns more:
     n_words, n_removed and kept_sha256."""
-    judged = repeats(docs, WORDS, earlier(WORDS))
+    judged = repeats(docs, WORDS, Earlier, first_stays=True)
     names = docs.columns
     fields = [docs.schema[c] for c in names]
+    text_at = len(names) - 1  # where _text stands below
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, text_at):
             get = {c: b.column(i) for i, c in enumerate(b.schema.names)}
             n, gone, sha, texts = [], [], [], []
             for text, runs, copy in zip(get["_text"].to_pylist(), get["_runs"].to_pylist(), get["_copy"].to_pylist()):
