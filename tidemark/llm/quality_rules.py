@@ -4,12 +4,13 @@ Each document gets exact counts, a fixed base rule and a learned verdict. The le
 set of one-sided rules (feature above or below a cutoff). Cutoffs come from a fixed grid; on the
 labelled rows of a stratum (language) a cutoff is admissible when an exact binomial test shows,
 at level DELTA / (number of hypotheses), that it rejects fewer than RISK / (number of rules) of the good
-documents. Among admissible cutoffs the one that separates best is taken; a stratum with too few
-labels gets no learned rule.
+documents. Among admissible cutoffs the one that separates best is taken. A stratum is judged by
+its own labels alone: one with too few of them, or without an admissible cutoff, gets no learned rule.
 
-Edge cases: null text counts as empty (n_words 0, so the base rule fails it); null or rare
-languages share the stratum 'other'; repeated rows are judged alike, each once; an empty table gives
-an empty result; without labels only the base rule decides; further columns of the input are ignored.
+Edge cases: null text counts as empty (n_words 0, so the base rule fails it); a null language is a
+stratum of its own; repeated rows are judged alike, each once; of a doc_id with several texts the least row of counts
+is learned from; an empty table gives an empty result; without labels only the base rule decides; further columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 FEW = 16  # repeated windows up to which a text is searched for them, instead of sorted
 RISK = 0.06  # share of good documents that the learned rules together may reject in a stratum
 DELTA = 0.05  # probability that the limit is missed anywhere
-MAX_STRATA = 255  # strata with thresholds of their own, by labelled rows; bounds the broadcast table
+BROADCAST = 10_000  # rows up to which the table of thresholds is broadcast; beyond, it is joined by a shuffle
 GOOD_WEIGHT = 2.0  # a good document rejected weighs as much as so many bad ones
 
 #: rule -> (+1: rejects above the cutoff, -1: below; cutoffs from loose to strict)
@@ -136,63 +137,61 @@ def binomial_tail_log(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row a stratum, with a map from rule to chosen cutoff; at most MAX_STRATA + 1 rows."""
+    """One row for each stratum with an admissible cutoff: a map from rule to cutoff. Counts per stratum, rule and grid place
+    are made in one aggregation and checkpointed; all else runs over that small table."""
     truth = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_good"))
-    held = measured.where(~base_failed()).join(truth, F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"])
-    named = held.groupBy(F.col(stratum).alias("_s")).count().where("_s is not null").orderBy(F.desc("count"), "_s").limit(MAX_STRATA)
-    held = held.join(F.broadcast(named.select("_s", F.lit(True).alias("_own"))), F.col(stratum) == F.col("_s"), "left")
+    used = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+    fair = measured.where(~base_failed()).select("doc_id", F.struct(*used, F.col(stratum).alias("_stratum")).alias("_r"))
+    held = fair.join(truth, F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("_r").alias("_r"), F.first("_good").alias("_good")).select("_r.*", "_good")
     f = _features()
     passed = lambda rule: F.size(F.filter(F.array(*map(F.lit, RULES[rule][1])), lambda c: (f[rule] > c) if RULES[rule][0] > 0 else (f[rule] < c)))
     counts = (
-        held.select(
-            F.when(F.col("_own"), F.col("_s")).otherwise("other").alias("_stratum"),
-            (F.col("_good") == 1).alias("_g"),
-            F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), passed(r).alias("passed")) for r in RULES])).alias("x"),
-        )
+        held.select("_stratum", (F.col("_good") == 1).alias("_g"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), passed(r).alias("passed")) for r in RULES])).alias("x"))
         .groupBy("_stratum", "x.rule", "x.passed")
         .agg(F.count_if("_g").alias("good"), F.count_if(~F.col("_g")).alias("bad"))
-    )
+    ).checkpoint()
     cell = W.partitionBy("_stratum", "rule")
     grid = F.create_map(*[x for r, (_, c) in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, c)))])
+    hypotheses = sum(len(c) for _, c in RULES.values())
+    limit = risk / len(RULES)
     reached = (
         counts.withColumn("n", F.sum("good").over(cell))
         .withColumn("false_rejects", F.sum("good").over(cell.orderBy(F.desc("passed"))))
         .withColumn("hits", F.sum("bad").over(cell.orderBy(F.desc("passed"))))
         .where("passed > 0")
     )
-    strata = counts.select(F.count_distinct("_stratum").alias("_strata"))
-    hypotheses = sum(len(c) for _, c in RULES.values())
-    limit = risk / len(RULES)
+    # strata with so few good documents that no cutoff could pass test nothing; the number of documents alone tells
+    sizes = counts.where(F.col("rule") == F.lit(next(iter(RULES)))).groupBy("_stratum").agg(F.sum("good").alias("n"))
+    strata = sizes.where(F.col("n") * F.log1p(F.lit(-limit)) <= F.log(F.lit(delta / hypotheses))).agg(F.greatest(F.count("*"), F.lit(1)).alias("_strata"))
     fits = F.when(
         F.col("false_rejects") < F.col("n") * limit,
         binomial_tail_log(F.col("n"), F.col("false_rejects"), limit) <= F.log(F.lit(delta / hypotheses) / F.col("_strata")),
     ).otherwise(False)
+    # rows that the strictest so many cutoffs reject: places of the grid count from its end; of equal gains the loosest is taken
     gain = F.col("hits") - GOOD_WEIGHT * F.col("false_rejects")
     return (
         reached.crossJoin(F.broadcast(strata))
         .where(fits & (gain > 0))
         .groupBy("_stratum", "rule")
-        .agg(F.max_by(F.element_at(grid[F.col("rule")], F.col("passed")), F.struct(gain, -F.col("passed"))).alias("cutoff"))
+        .agg(F.max_by(F.element_at(grid[F.col("rule")], -F.col("passed")), F.struct(gain, "passed")).alias("cutoff"))
         .groupBy("_stratum")
         .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
     )
 
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
-    """measured with base_failed and kept; cuts is bounded by MAX_STRATA, so it is broadcast."""
-    other = cuts.where("_stratum = 'other'").select(F.col("_cut").alias("_rest"))
-    one = other.agg(F.first("_rest").alias("_rest"))
+    """measured with base_failed and kept."""
+    cuts = cuts.checkpoint()
     f = _features()
     hit = F.lit(False)
     for rule, (side, _) in RULES.items():
-        cut = F.coalesce(F.col("_cut"), F.col("_rest"))[rule]
+        cut = F.col("_cut")[rule]
         hit = hit | F.coalesce((f[rule] > cut) if side > 0 else (f[rule] < cut), F.lit(False))
     return (
-        measured.join(F.broadcast(cuts), F.col(stratum) == F.col("_stratum"), "left")
-        .crossJoin(F.broadcast(one))
+        measured.join(F.broadcast(cuts) if cuts.count() <= BROADCAST else cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~hit)
-        .drop("_stratum", "_cut", "_rest")
+        .drop("_stratum", "_cut")
     )
 
 
