@@ -6,8 +6,9 @@ together by per-document Adagrad steps, so a misspelling unseen in training scor
 With two classes the score needs one number a table row (its vector along the weights' difference); that vector is
 broadcast, 4 bytes times BUCKETS.
 
-Training uses at most SAMPLE rows of each class, those with the smallest hash of their id; the table, the sample and the
-model do not grow with the corpus. Scoring is a narrow map over all documents.
+Training uses at most SAMPLE rows of each class, those with the smallest hash of their id; tasks make their bags of table rows, and
+only those reach the driver (12 bytes a distinct row of a text, whatever its length). The table, the sample and the
+model do not grow with the corpus. The first dimension starts as naive Bayes log-odds. Scoring is a narrow map over all documents.
 
 Edge cases: null or wordless text scores by the bias alone; repeated rows score alike; no labels of a class
 give a constant score (0.5); rows of labels without a document, or a null label, are ignored.
@@ -16,6 +17,7 @@ give a constant score (0.5); rows of labels without a document, or a null label,
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +53,24 @@ class Bags:
 
     STEP = 256  # documents whose parts are held singly
 
-    def __init__(self, texts: list[str]):
-        cache = _Cache(lambda w: np.array(subwords(w), dtype=np.int32), 100_000)
-        rows, weights, sizes = [], [], []
-        for lo in range(0, len(texts), self.STEP):
-            parts = [self._one(t, cache) for t in texts[lo : lo + self.STEP]]
-            rows.append(np.concatenate([r for r, _ in parts]))
-            weights.append(np.concatenate([w for _, w in parts]))
-            sizes += [len(r) for r, _ in parts]
+    def __init__(self, parts: Iterable[tuple[np.ndarray, np.ndarray]]):
+        rows, weights, sizes, some = [], [], [], []
+        for part in (*parts, None):
+            if part is not None:
+                some.append(part)
+                sizes.append(len(part[0]))
+            if some and (part is None or len(some) == self.STEP):
+                rows.append(np.concatenate([r for r, _ in some]))
+                weights.append(np.concatenate([w for _, w in some]))
+                some = []
         self.rows, self.weights, self.ends = np.concatenate(rows), np.concatenate(weights), np.cumsum(sizes)
 
     @staticmethod
-    def _one(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    def cache() -> dict:
+        return _Cache(lambda w: np.array(subwords(w), dtype=np.int32), 100_000)
+
+    @staticmethod
+    def one(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
         words = WORD.findall(text.lower())
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -78,11 +86,16 @@ class Bags:
 
 
 def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
+    cache = Bags.cache()
+    return train_bags((Bags.one(t, cache) for t in texts), classes, seed)
+
+
+def train_bags(parts: Iterable[tuple[np.ndarray, np.ndarray]], classes: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
     """Score of each table row and bias, such that a document's log-odds are its weighted mean of rows plus the bias."""
     if len(set(classes)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
-    bags = Bags(texts)
+    bags = Bags(parts)
     weight = {c: len(classes) / 2 / classes.count(c) for c in (0, 1)}
     # the first dimension starts at the rows' log-odds, less what chance may give; averages over long
     # texts are so small that from a random start the rows seen in one document would be learned first
@@ -119,16 +132,27 @@ def train(texts: list[str], classes: list[int], seed: int = 11) -> tuple[np.ndar
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size: int = SAMPLE) -> DataFrame:
-    """Texts and classes of at most size labelled rows of each class, by smallest hash of the id."""
+    """Texts and classes of at most size labelled rows of each class, by smallest hash of the id; of a doc_id with several texts the one
+    with the smallest digest."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).alias("_class"))
     some = [known.where(F.col("_class") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     ids = some[0].union(some[1]).select(F.col("doc_id").alias("_id"), "_class")  # 2 * size rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_class")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_class").groupBy("doc_id", "_class").agg(F.min_by("text", F.md5("text")).alias("text")).select("doc_id", "text", "_class")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray, float]:
-    rows = sorted(sample(docs, labels, "toxic", usable).collect())
-    return train([r["text"] for r in rows], [r["_class"] for r in rows])
+    def run(batches):
+        cache = Bags.cache()
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                bags = [Bags.one(t, cache) for t in part.column(1).to_pylist()]
+                packed = [pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], ["doc_id", "class", "rows", "weights"])
+
+    some = sample(docs, labels, "toxic", usable).select(F.col("doc_id").cast("long"), "text", F.col("_class").cast("int"))
+    bags = sorted(some.mapInArrow(run, "doc_id long, class int, rows binary, weights binary").collect())
+    return train_bags(((np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in bags), [r["class"] for r in bags])
 
 
 def _scorer(model: tuple[np.ndarray, float]):
