@@ -1,7 +1,7 @@
 """Packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
-Documents become pieces of at most `capacity` tokens. Pieces are dealt to islands by a hash of the piece, so
-no document or source can fill one; an island holds a bounded number. On each island individuals are
+Documents become pieces of at most `capacity` tokens. Pieces are dealt to islands by a hash of their place in the checkpointed
+table, so no document, source or group of copies can fill one; an island holds a bounded number and a task one island. On each island individuals are
 groupings of the pieces into bins. Crossover injects well-filled bins of one parent into the other whole,
 removes the bins that hold the same pieces, and best-fits the displaced ones; mutation does so with the worst
 bins. After the first epoch the islands hand their elite bins on as size patterns to the next island of a ring,
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from .bpe import CHUNKS, END, WORD, WORDS, encoder
 
 CAPACITY = 2048
 ISLAND = 8192  # pieces an island holds, about
-POPULATION, GENERATIONS, ELITES = 4, 6, 48
+POPULATION, ELITES = 10, 48
+EFFORT = 200_000  # pieces times generations of an island; 24 generations of a full one, GENERATIONS of a small one
+GENERATIONS, PAIRS = 400, 48  # the most generations, and displaced pieces up to which they are also tried in pairs
 SEPARATOR = (0).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -149,28 +153,65 @@ class Island:
         """Fewest bins first, then the most uneven filling, which leaves the most room in one place."""
         return -len(bins), sum(self.fill(b) ** 2 for b in bins)
 
+    def exchange(self, bins: list[list[int]], loose: list[int]) -> list[int]:
+        """Swaps one or two pieces of a bin for one or two loose ones that fill it better; gives what is loose then."""
+        order = list(range(len(bins)))
+        self.rng.shuffle(order)
+        size = self.sizes.__getitem__
+
+        def offers():
+            out = [(size(i), (i,)) for i in loose]
+            if len(loose) <= PAIRS:
+                out += [(size(i) + size(j), (i, j)) for i, j in combinations(loose, 2)]
+            return sorted(out)
+
+        on_offer = offers()
+        for k in order:
+            b = bins[k]
+            room = self.capacity - self.fill(b)
+            if not room or not on_offer:
+                continue
+            best, swap = 0, None
+            for out in [(), *((i,) for i in b), *combinations(b, 2)]:
+                gone = sum(map(size, out))
+                at = bisect_right(on_offer, gone + room, key=lambda o: o[0]) - 1
+                if at >= 0 and on_offer[at][0] - gone > best:
+                    best, swap = on_offer[at][0] - gone, (out, on_offer[at][1])
+            if swap:
+                out, put = set(swap[0]), set(swap[1])
+                bins[k] = [i for i in b if i not in out] + list(put)
+                loose = [i for i in loose if i not in put] + list(out)
+                on_offer = offers()
+        return loose
+
     def injected(self, into: list[list[int]], good: list[list[int]]) -> list[list[int]]:
+        """Bins of into with good ones put in whole: bins that share a piece go, and their other pieces are fitted anew."""
         taken = {i for b in good for i in b}
-        out, loose = [list(b) for b in good], []
+        out, loose = [], []
         for b in into:
             if taken.isdisjoint(b):
                 out.append(list(b))
             else:
                 loose += [i for i in b if i not in taken]
-        return self.best_fit(out, loose)
+        return self.refitted([list(b) for b in good] + out, loose)
+
+    def refitted(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
+        return self.best_fit(bins, self.exchange(bins, loose) if len(loose) <= 4 * PAIRS else loose)
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        full = [x for x in b if self.fill(x) >= self.capacity - 2]
-        return self.injected(a, self.rng.sample(full, max(1, len(full) // 3)) if full else [])
+        """a with some of the best-filled bins of b that a doesn't have."""
+        own = {frozenset(x) for x in a}
+        full = [x for x in b if self.fill(x) >= self.capacity - 2 and frozenset(x) not in own]
+        return self.injected(a, self.rng.sample(full, self.rng.randint(1, max(1, min(len(full), 1 + len(a) // 10)))) if full else [])
 
     def mutate(self, a: list[list[int]]) -> list[list[int]]:
+        """a with some of the emptiest bins and some others taken apart."""
         order = sorted(range(len(a)), key=lambda k: self.fill(a[k]))
-        drop = set(order[: max(2, len(a) // 50)]) | set(self.rng.sample(range(len(a)), max(1, len(a) // 50)))
+        few = self.rng.randint(2, max(3, min(12, len(a) // 4)))
+        drop = set(order[: few // 2]) | set(self.rng.sample(range(len(a)), min(len(a), few)))
         loose = [i for k in drop for i in a[k]]
-        keep = [list(b) for k, b in enumerate(a) if k not in drop]
         self.rng.shuffle(loose)
-        half = len(loose) // 2
-        return self.best_fit(self.best_fit(keep, loose[:half]), loose[half:])
+        return self.refitted([list(b) for k, b in enumerate(a) if k not in drop], loose)
 
     def patterns(self, patterns: list[list[int]]) -> list[list[int]]:
         """Bins of own pieces that repeat the given size patterns, each as often as there are pieces for it."""
@@ -198,14 +239,19 @@ class Island:
         if start is not None:
             pop.append(self.injected(first, self.patterns(elites)))
         floor = -(-sum(self.sizes) // self.capacity)
-        while len(pop) < POPULATION and len(first) > floor:
+        pop.sort(key=self.score, reverse=True)
+        while len(pop) < POPULATION and len(pop[0]) > floor:
             pop.append(self.mutate(first))
-        for _ in range(GENERATIONS):
+        for _ in range(min(GENERATIONS, EFFORT // max(1, len(self.sizes)))):
             pop.sort(key=self.score, reverse=True)
             if len(pop[0]) <= floor:
                 break
-            a, b = pop[0], pop[self.rng.randrange(1, len(pop))]
-            pop = pop[: POPULATION - 2] + [self.cross(a, b) if self.rng.random() < 0.7 else self.mutate(a), self.cross(b, a)]
+            a, b = (min(self.rng.sample(range(len(pop)), 2)) for _ in range(2))  # the better of two, twice
+            child = self.cross(pop[a], pop[b]) if a != b else self.mutate(pop[a])
+            for new in (child, self.mutate(child)):
+                if all(self.score(new) != self.score(p) for p in pop):
+                    pop.append(new)
+            pop = sorted(pop, key=self.score, reverse=True)[:POPULATION]
         return max(pop, key=self.score)
 
 
@@ -252,7 +298,7 @@ def _epoch(dealt: DataFrame, islands: int, capacity: int, epoch: int) -> DataFra
         for done, parts in held.items():
             yield island_run(done, pa.Table.from_batches(parts))
 
-    return dealt.repartition(islands, "island").sortWithinPartitions("island").mapInArrow(run, PACKED)
+    return dealt.repartitionById(islands, F.col("island")).sortWithinPartitions("island").mapInArrow(run, PACKED)
 
 
 def _elites(packed: DataFrame, islands: int, capacity: int) -> DataFrame:
@@ -266,7 +312,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with its sequence and its place there. Pieces are checkpointed, so texts are tokenized once."""
     cut = pieces(docs, path, capacity).checkpoint()
     islands = max(1, -(-cut.count() // ISLAND))
-    dealt = cut.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(islands)).cast("int").alias("island"), "*")
+    dealt = cut.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)).cast("int").alias("island"), "*")
     none = F.lit(None).cast("int").alias("bin"), F.lit(None).cast("array<array<bigint>>").alias("elites")
     now = _epoch(dealt.select("*", *none), islands, capacity, 0)
     if islands > 1:
