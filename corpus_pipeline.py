@@ -40,9 +40,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each SimHash component."""
     shared_dir(spark)
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    own = "_id"
+    while own in docs.columns:
+        own += "_"
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     dealt = docs.repartition(partitions(spark), "doc_id")
-    rows = dealt.join(kept, F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null").drop("_id")
+    rows = dealt.join(kept, F.col("doc_id") == F.col(own), "left").where(F.col(own).isNotNull() | F.col("doc_id").isNull()).drop(own)
     at = docs.columns.index("doc_id")
 
     def once(batches):
