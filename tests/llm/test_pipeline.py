@@ -47,3 +47,17 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_any_further_column(spark, tmp_path):
+    """Columns named as those that stages use inside pass through."""
+    names = ["_id", "_id_", "_own", "_row", "_rest", "_text", "_md5", "_key", "_runs", "_copy", "_stratum", "_cut", "kept", "score", "fingerprint", "root", "island", "bin"]
+    rows = [(i, (t or "x") + " and ten more words so that the base rule is met here", "en", *[f"{i}{n}" for n in names]) for i, t in enumerate(corpus()[:25])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", *names] and got, name
+        assert all(r[n] == f"{r.doc_id}{n}" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(got)
