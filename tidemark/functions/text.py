@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -26,50 +27,64 @@ SEQUENCES = {
     "\U0001f1f5\U0001f1f9": "bandeira de Portugal",
     "\U0001f1fa\U0001f1f8": "bandeira dos Estados Unidos",
 }
-EMOJI_WORDS = {
-    "risos": "\U0001f602\U0001f923\U0001f605\U0001f606\U0001f600\U0001f603\U0001f604",
-    "coração": "❤\U0001f499\U0001f493\U0001f495",
-    "amei": "\U0001f60d\U0001f970",
-    "sorriso": "\U0001f60a",
-    "maravilhoso": "\U0001f929",
-    "aplausos": "\U0001f44f",
-    "positivo": "\U0001f44d",
-    "por favor": "\U0001f64f",
-    "comemoração": "\U0001f389",
-    "fogo": "\U0001f525",
-    "certo": "✅",
-    "estiloso": "\U0001f60e",
-    "negativo": "\U0001f44e",
-    "choro": "\U0001f622\U0001f62d\U0001f979",
-    "raiva": "\U0001f620\U0001f621",
-    "decepção": "\U0001f926",
-    "lixo": "\U0001f4a9",
-    "morte": "☠\U0001f480",
-    "espanto": "\U0001f62e\U0001f62f",
-    "dúvida": "\U0001f914",
-    "disco": "\U0001f4bf\U0001f4c0",
-    "copo": "\U0001f964",
-    "sino": "\U0001f514\U0001f515",
+EMOJI = {
+    "😂": "risos",
+    "🤣": "risos",
+    "😅": "risos",
+    "😆": "risos",
+    "😀": "risos",
+    "😃": "risos",
+    "😄": "risos",
+    "❤": "coração",
+    "💙": "coração",
+    "💓": "coração",
+    "💕": "coração",
+    "😍": "amei",
+    "🥰": "amei",
+    "😊": "sorriso",
+    "🤩": "maravilhoso",
+    "👏": "aplausos",
+    "👍": "positivo",
+    "🙏": "por favor",
+    "🎉": "comemoração",
+    "🔥": "fogo",
+    "✅": "certo",
+    "😎": "estiloso",
+    "👎": "negativo",
+    "😢": "choro",
+    "😭": "choro",
+    "🥹": "choro",
+    "😠": "raiva",
+    "😡": "raiva",
+    "🤦": "decepção",
+    "💩": "lixo",
+    "☠": "morte",
+    "💀": "morte",
+    "😮": "espanto",
+    "😯": "espanto",
+    "🤔": "dúvida",
+    "💿": "disco",
+    "📀": "disco",
+    "🥤": "copo",
+    "🔔": "sino",
+    "🔕": "sino",
 }
 DROPPED = "️︎‍⃣"
 SKIN = (0x1F3FB, 0x1F3FF)
-EMOJI_RANGES = ((0x1F300, 0x1FAFF), (0x1F1E6, 0x1F1FF), (0x2600, 0x27BF), SKIN)
-NAME_CLASSES = (
-    ("HEART", "coração"),
-    ("FLAG", "bandeira"),
-    ("SKULL", "morte"),
-    ("FIRE", "fogo"),
-    ("STAR", "estrela"),
-    ("CLAPPING THUMBS HAND HANDS FINGER FIST PALM ARM", "mão"),
-    ("CAT DOG MONKEY ANIMAL", "animal"),
-    ("FACE SMILEY PERSON", "rosto"),
-)
+EMOJI_PATTERN = r"[\p{So}\x{1F300}-\x{1FAFF}\x{1F1E6}-\x{1F1FF}\x{2600}-\x{27BF}]"
+NAME_CLASSES = {  # class -> words of a character's Unicode name, the first class counts
+    "coração": {"HEART"},
+    "bandeira": {"FLAG"},
+    "morte": {"SKULL"},
+    "fogo": {"FIRE"},
+    "estrela": {"STAR"},
+    "mão": {"CLAPPING", "THUMBS", "HAND", "HANDS", "FINGER", "FIST", "PALM", "ARM"},
+    "animal": {"CAT", "DOG", "MONKEY", "ANIMAL"},
+    "rosto": {"FACE", "SMILEY", "PERSON"},
+}
 GENERIC = "emoji"
 # --------------------------------------------------------------------------------------------------------------
 
-EMOJI = {e: word for word, all_e in EMOJI_WORDS.items() for e in all_e}
-
-
 def canonical(x: Column) -> Column:
     """All white space runs to one space, trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -79,27 +94,26 @@ def typography(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("…"), F.lit("...")), F.lit("´"), F.lit("'"))
 
 
-def is_emoji(c: str) -> bool:
-    return c in DROPPED or unicodedata.category(c) == "So" or any(a <= ord(c) <= b for a, b in EMOJI_RANGES)
+def spoken() -> dict[str, str]:
+    """What stands for each emoji sequence and character: its word between blanks, nothing for joiners and skin tones.
 
+    Made once from the fixed map and the names of all characters that EMOJI_PATTERN covers."""
+    table = {}
+    ranges = regex.compile(regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), EMOJI_PATTERN.replace(r"\p{So}", "")))
+    for c in map(chr, range(0x20000)):
+        if unicodedata.category(c) == "So" or ranges.match(c):
+            name = set(unicodedata.name(c, "").replace("-", " ").split())
+            table[c] = EMOJI.get(c) or next((label for label, words in NAME_CLASSES.items() if words & name), GENERIC)
+    silent = dict.fromkeys([*DROPPED, *map(chr, range(SKIN[0], SKIN[1] + 1))], "")
+    return {k: f" {word} " for k, word in (table | EMOJI | SEQUENCES).items()} | silent
 
-def emoji_class(c: str) -> str:
-    """First class one of whose words the character's name has."""
-    name = set(unicodedata.name(c, "").replace("-", " ").split())
-    return next((label for words, label in NAME_CLASSES if name & set(words.split())), GENERIC)
+
+SPOKEN = spoken()
+SYMBOLS = regex.compile("|".join(map(regex.escape, SEQUENCES)) + "|[" + "".join(map(regex.escape, (k for k in SPOKEN if len(k) == 1))) + "]")
 
 
 def replace_emoji(text: str) -> str:
-    for s, word in SEQUENCES.items():
-        text = text.replace(s, f" {word} ")
-    if not any(map(is_emoji, text)):
-        return text
-    out = []
-    for c in text:
-        if c in DROPPED or SKIN[0] <= ord(c) <= SKIN[1]:
-            continue
-        out.append(f" {EMOJI.get(c) or emoji_class(c)} " if is_emoji(c) else c)
-    return "".join(out)
+    return SYMBOLS.sub(lambda m: SPOKEN[m[0]], text)
 
 
 @pandas_udf(StringType())
@@ -124,6 +138,17 @@ _LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normal
 _PLAIN = "".join(next(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in _LATIN)
 
 
+@pandas_udf(StringType())
+def _composed(x: pd.Series) -> pd.Series:
+    return x.astype(object).map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+
+def lexicon_key(x: Column) -> Column:
+    """Lower case in composed form, accents kept. Text without combining marks takes no Python: the UDF sees null for it."""
+    low = F.lower(x)
+    return F.coalesce(_composed(F.when(low.rlike(r"[\p{M}\u1100-\u11ff]"), low)), low)
+
+
 def fold(x: Column) -> Column:
     """Accents dropped by translate(); exact for text of Latin letters below U+0250 without combining marks."""
     return F.translate(x, "".join(_LATIN), _PLAIN)

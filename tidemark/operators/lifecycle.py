@@ -88,3 +88,36 @@ def accepted(comments: DataFrame, video: str, limit: int, reasons: list[tuple[st
     order = W.partitionBy(video).orderBy(F.col("published_at").desc_nulls_last(), "comment_id")
     so_far = F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return comments.withColumn("reason", reason).withColumn("_before", so_far).where(F.col("_before") < limit).drop("_before")
+
+
+def blank_metadata(videos: DataFrame, fetched: str, now: Column, columns: list[str]) -> DataFrame:
+    """Columns of videos that weren't refreshed for COMMENT_DAYS blanked; rows and counters stay."""
+    fresh = F.coalesce(F.col(fetched) >= now - F.expr(f"INTERVAL {COMMENT_DAYS} DAYS"), F.lit(False))
+    return videos.withColumns({c: F.when(fresh, F.col(c)) for c in columns})
+
+
+def refresh_calls(videos: DataFrame, tenant: str, fetched: str, ids: list[str], now: Column, calls: int, batch: int = 50) -> DataFrame:
+    """Videos due for a refresh with the call that takes them, oldest first, as far as the tenant's calls reach."""
+    due = videos.where(F.col(fetched) < now - F.expr(f"INTERVAL {REFRESH_DAYS} DAYS"))
+    place = F.row_number().over(W.partitionBy(tenant).orderBy(fetched, *ids))
+    return due.withColumn("_place", place).where(F.col("_place") <= calls * batch).withColumn("call", F.ceil(F.col("_place") / batch)).drop("_place")
+
+
+def backoff(attempts: Column, key: Column) -> Column:
+    """Seconds to wait after so many attempts: a power of two and up to a second more, the same for the same key."""
+    jitter = (F.pmod(F.xxhash64(key, attempts), F.lit(999_998)) + 1) / 1_000_000.0
+    return F.pow(F.lit(2.0), attempts) + jitter
+
+
+def plain_int(name: str) -> Column:
+    """A JSON value that is a whole number; neither true nor text counts."""
+    return F.when(F.col(name).rlike("^[0-9]+$"), F.col(name).try_cast("long"))
+
+
+def cut(raw: DataFrame, cap: int) -> DataFrame:
+    """term, since, the applied limit and warnings of raw cuts (job_id, asked, since, term); what can't be read is left out with a warning."""
+    n = plain_int("asked")
+    since = F.nullif(F.col("since"), F.lit("")).try_cast("date")
+    bad_date = F.when((F.col("since") != "") & since.isNull(), "date")
+    limit = F.least(F.coalesce(n, F.lit(cap).cast("long")), F.lit(cap).cast("long"))
+    return raw.select("job_id", F.nullif(F.trim("term"), F.lit("")).alias("term"), since.alias("since"), limit.alias("applied"), F.concat_ws(",", bad_date, F.when(n.isNull(), "limit")).alias("warnings"))

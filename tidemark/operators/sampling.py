@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def order_hash(key: str, seed: int = 42) -> Column:
-    """Place of a row in the seeded order. crc32 keeps it expressible in SQL elsewhere."""
-    return F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    """Place of a row in the seeded order. md5 keeps it expressible in SQL elsewhere."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
+def cochran_size(population: Column, margin: float = 0.05, z: float = 1.96, p: float = 0.5) -> Column:
+    """cochran() of a column of population sizes."""
+    n0 = z * z * p * (1 - p) / (margin * margin)
+    return F.ceil(F.lit(n0) / (1 + F.lit(n0 - 1) / population)).cast("long")
 
 
 def cochran(population: int, margin: float = 0.05, z: float = 1.96, p: float = 0.5) -> int:
