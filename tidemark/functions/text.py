@@ -94,6 +94,12 @@ def typography(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("…"), F.lit("...")), F.lit("´"), F.lit("'"))
 
 
+def emoji_class(c: str) -> str:
+    """Class by the words of the character's name."""
+    name = set(unicodedata.name(c, "").replace("-", " ").split())
+    return next((label for label, words in NAME_CLASSES.items() if words & name), GENERIC)
+
+
 def spoken() -> dict[str, str]:
     """What stands for each emoji sequence and character: its word between blanks, nothing for joiners and skin tones.
 
@@ -102,8 +108,7 @@ def spoken() -> dict[str, str]:
     ranges = regex.compile(regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), EMOJI_PATTERN.replace(r"\p{So}", "")))
     for c in map(chr, range(0x20000)):
         if unicodedata.category(c) == "So" or ranges.match(c):
-            name = set(unicodedata.name(c, "").replace("-", " ").split())
-            table[c] = EMOJI.get(c) or next((label for label, words in NAME_CLASSES.items() if words & name), GENERIC)
+            table[c] = EMOJI.get(c) or emoji_class(c)
     silent = dict.fromkeys([*DROPPED, *map(chr, range(SKIN[0], SKIN[1] + 1))], "")
     return {k: f" {word} " for k, word in (table | EMOJI | SEQUENCES).items()} | silent
 

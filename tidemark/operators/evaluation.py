@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .aggregates import fraction
 
@@ -55,6 +55,48 @@ def macro(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], F.sum("support").alias("n"))
 
 
+def drawn_weight(unit: str, seed: int) -> Column:
+    """How often the unit is in resample b: Poisson(1) from a hash of both."""
+    u = (F.pmod(F.xxhash64(F.col(unit), F.col("b"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    weight, tail, term = F.lit(0), 0.0, 2.718281828459045**-1
+    for k in range(8):
+        tail += term
+        weight = weight + F.when(u > tail, 1).otherwise(0)
+        term /= k + 1
+    return weight
+
+
+def weighted_macro_f1(rows: DataFrame, gold: str, predicted: str, weight: Column, classes: tuple[str, ...], *keys: str) -> DataFrame:
+    """keys and macro F1 over all classes (the denominator is fixed) of weighted rows; classes that don't occur count 0."""
+    w = lambda when: F.sum(F.when(when, weight).otherwise(0.0))
+    per = [F.struct(w((F.col(gold) == c) & (F.col(predicted) == c)).alias("tp"), (w(F.col(predicted) == c) + w(F.col(gold) == c)).alias("both")) for c in classes]
+    f1 = F.aggregate("x", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_divide(2.0 * t["tp"], t["both"].cast("double")), F.lit(0.0))) / len(classes)
+    return rows.groupBy(*keys).agg(F.array(*per).alias("x")).select(*keys, f1.alias("macro_f1"))
+
+
+def bootstrap_paired(pairs: DataFrame, gold: str, a: str, b: str, classes: tuple[str, ...], unit: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Macro F1 of a less that of b, and its percentile interval with the same draws for both. One row."""
+    cells = pairs.groupBy(unit, gold, a, b).agg(F.count("*").alias("c"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b_")).withColumnRenamed("b_", "_b").withColumnRenamed(b, "_second").withColumnRenamed("_b", "b")
+    w = F.col("c") * F.when(F.col("b") == 0, 1).otherwise(drawn_weight(unit, seed))  # draw 0 is the data
+    one, two = weighted_macro_f1(drawn, gold, a, w, classes, "b"), weighted_macro_f1(drawn, gold, "_second", w, classes, "b").withColumnRenamed("macro_f1", "second")
+    delta = one.join(two, "b").select("b", (F.col("macro_f1") - F.col("second")).alias("d"))
+    of_draws = F.when(F.col("b") > 0, F.col("d"))
+    return delta.agg(F.max(F.when(F.col("b") == 0, F.col("d"))).alias("delta"), F.percentile(of_draws, 0.025).alias("low"), F.percentile(of_draws, 0.975).alias("high"), F.count(of_draws).alias("resamples"))
+
+
+def bootstrap_strata(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, stratum: str, population: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Macro F1 for a population from a sample stratified otherwise: every row weighs N_s / n_s (population: stratum, N), and is redrawn within
+    its stratum, whose weights are scaled back to N_s in every draw. One row."""
+    cells = pairs.groupBy(stratum, unit, gold, predicted).agg(F.count("*").alias("c"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b")).withColumn("_w", F.col("c") * F.when(F.col("b") == 0, 1).otherwise(drawn_weight(unit, seed)))
+    sizes = drawn.groupBy(stratum, "b").agg(F.sum("_w").alias("_n"))
+    rows = drawn.join(sizes, [stratum, "b"]).join(F.broadcast(population), stratum).where("_n > 0")  # a row a stratum
+    scores = weighted_macro_f1(rows, gold, predicted, F.col("_w") * F.col("N") / F.col("_n"), classes, "b")
+    of_draws = F.when(F.col("b") > 0, F.col("macro_f1"))
+    return scores.agg(F.max(F.when(F.col("b") == 0, F.col("macro_f1"))).alias("macro_f1"), F.percentile(of_draws, 0.025).alias("low"), F.percentile(of_draws, 0.975).alias("high"), F.count(of_draws).alias("resamples"))
+
+
 def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile intervals of each class's F1 and of macro F1 over the classes present, resampling whole units (a row id or a cluster).
 
@@ -63,13 +105,7 @@ def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tup
     Each unit's weight in a resample is Poisson(1) from a hash of (unit, resample), so no task needs all rows and
     the draws don't depend on the partitioning. Units are first summed to their confusion cells."""
     cells = pairs.groupBy(unit, gold, predicted).agg(F.count("*").alias("c"))
-    u = (F.pmod(F.xxhash64(F.col(unit), F.col("b"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, tail = F.lit(0), 0.0
-    term = 2.718281828459045**-1
-    for k in range(8):
-        tail += term
-        weight = weight + F.when(u > tail, 1).otherwise(0)
-        term /= k + 1
+    weight = drawn_weight(unit, seed)
     drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("b", gold, predicted, (F.col("c") * weight).alias("w")).where("w > 0")
     parts = [F.struct(F.lit(c).alias("class"), F.sum(F.when((F.col(gold) == c) & (F.col(predicted) == c), F.col("w")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(predicted) == c, F.col("w")).otherwise(0)).alias("pp"), F.sum(F.when(F.col(gold) == c, F.col("w")).otherwise(0)).alias("s")) for c in classes]
     per = drawn.groupBy("b").agg(F.array(*parts).alias("x"))
@@ -88,3 +124,12 @@ def human_ceiling(ratings: DataFrame, item: str, rater: str, label: str, model:
     third = ratings.join(consensus, (F.col(item) == F.col("_i")) & ~F.col(rater).isin(F.col("_r1"), F.col("_r2"))).select(F.col(rater).cast("string").alias("judged"), item, "gold", F.col(label).alias("predicted"))
     of_model = third.select(item, "gold").distinct().join(model, item).select(F.lit("model").alias("judged"), item, "gold", "predicted")
     return third.union(of_model)
+
+
+def index_percentile(counts: DataFrame, value: str, n: str, share: float, *keys: str) -> DataFrame:
+    """keys and the value at place min(int(share * N), N - 1) of the ascending values, from counts of each distinct value: a group is as
+    large as its distinct values, however many rows it has."""
+    order = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum(n).over(W.partitionBy(*keys))
+    at = F.least(F.floor(F.lit(share) * total), total - 1)
+    return counts.select(*keys, value, F.sum(n).over(order).alias("_upto"), at.alias("_at")).where(F.col("_upto") > F.col("_at")).groupBy(*keys).agg(F.min(value).alias("at_share"))
