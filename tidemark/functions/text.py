@@ -10,7 +10,7 @@ import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -189,6 +189,12 @@ def topic_tokens(x: Column, stopwords: Column) -> Column:
     return F.filter(F.transform(long, fold), lambda w: ~F.array_contains(stopwords, w))
 
 
+def only_tokens(rows: DataFrame, word: str, stopwords: list[str]) -> DataFrame:
+    """rows, one a word of cleaned text, with the column token in place of the word; topic_tokens() says which stay."""
+    kept = rows.where((F.length(word) >= MIN_TOKEN) & ~F.col(word).rlike(LAUGHTER))
+    return kept.withColumn("token", fold(F.col(word))).where(~F.col("token").isin(*stopwords)).drop(word)
+
+
 def lexicon_score(tokens: Column, lexicon: Column) -> Column:
     """Sum, label and matched terms of the tokens under a map of polarities."""
     found = F.filter(F.transform(tokens, lambda w: F.struct(w.alias("word"), lexicon[w].alias("polarity"))), lambda t: t["polarity"].isNotNull())

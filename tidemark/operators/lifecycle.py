@@ -121,3 +121,18 @@ def cut(raw: DataFrame, cap: int) -> DataFrame:
     bad_date = F.when((F.col("since") != "") & since.isNull(), "date")
     limit = F.least(F.coalesce(n, F.lit(cap).cast("long")), F.lit(cap).cast("long"))
     return raw.select("job_id", F.nullif(F.trim("term"), F.lit("")).alias("term"), since.alias("since"), limit.alias("applied"), F.concat_ws(",", bad_date, F.when(n.isNull(), "limit")).alias("warnings"))
+
+
+def registered(wanted: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(version, id) of the versions that aren't known yet, with the ids after the known ones. Versions are few: one task numbers them."""
+    last = F.lit(0).cast("long")
+    new = wanted.select("version").distinct()
+    if known is not None:
+        new = new.join(known.select("version"), "version", "left_anti").crossJoin(F.broadcast(known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))
+        last = F.col("_last")
+    return new.select("version", (F.row_number().over(W.orderBy("version")) + last).cast("long").alias("id"))
+
+
+def activated(versions: DataFrame, chosen: Column) -> DataFrame:
+    """Exactly the chosen version active."""
+    return versions.withColumn("status", F.when(chosen, "ativo").otherwise("arquivado"))

@@ -20,6 +20,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents dealt evenly where their files make fewer splits than there are cores, as one small file does."""
+        d, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
     @cached_property
     def orders(self) -> DataFrame:
         """Orders with model, execution and video; the customer side is small, adaptive execution decides on broadcasting."""
@@ -55,7 +61,7 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        d = self.table("documents")
+        d = self.documents
         kind = F.col("doc_id") % 7
         return d.select(
             F.col("doc_id").alias("comment_id"), (F.col("doc_id") % 3).alias("execution_id"), F.col("source").alias("video"), "lang", "text",

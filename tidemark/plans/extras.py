@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import baseline, matching as M, sampling as S, topics as TP
-from .bindings import ORDERS_SQL
+from ..functions import text as T
+from ..operators import baseline, lifecycle as L, matching as M, sampling as S, selection as ML, topics as TP
+from ..sources.store import Table
+from .bindings import ORDERS_SQL, TOPICS_SQL
 from .kernels import PAIRS_SQL, pairs, tokens
 from .registrar import query
 
 
-def keyworded(v, run: int):
-    e = v.table("documents").where(F.col("doc_id") % 2 == run)
-    return e.select((F.col("doc_id") % 20 / 2).cast("long").alias("pair"), F.col("doc_id").alias("topic"), F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 10)).alias("keywords"))
+TOPIC_WORDS = f"""WITH {TOPICS_SQL.replace("p_type AS topic", "p_type AS topic, p_name").replace("p_brand FROM", "p_brand, p_name FROM").replace("t.topic, sentiment", "t.topic, sentiment, t.p_name")},
+k AS (SELECT DISTINCT model_id, execution_id, topic, unnest(string_split(p_name, ' ')) AS w FROM topic_links),
+n AS (SELECT execution_id, topic, count(*) AS n FROM k GROUP BY ALL)"""
 
 
-MATCH_SQL = "WITH k AS (SELECT doc_id, (doc_id % 20 / 2)::DOUBLE AS h, doc_id % 2 AS side, list_distinct(string_split(lower(text), ' ')[1:10]) AS w FROM documents), p AS (SELECT floor(x.h)::BIGINT AS pair, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) AS similarity FROM k x JOIN k y ON x.side = 0 AND y.side = 1 AND floor(x.h) = floor(y.h))"
+def keyworded(v, before: int):
+    """Topics of runs with the words of their parts' names; pair: the run whose topics are matched with the next run's."""
+    p = v.table("part").select("p_partkey", "p_name", F.explode(F.array("p_type", "p_brand")).alias("topic"))
+    named = v.comments.select("execution_id", "partkey").distinct().join(p, F.col("partkey") == F.col("p_partkey"))
+    words = named.select("execution_id", "topic", F.explode(F.split("p_name", " ")).alias("w")).groupBy("execution_id", "topic").agg(F.collect_set("w").alias("keywords"))
+    return words.select((F.col("execution_id") - before).alias("pair"), "topic", "keywords")
 
 
-@query("join_topic_pairs", f"{MATCH_SQL} SELECT pair, a, b, similarity FROM p WHERE similarity >= 0.3")
+@query("join_topic_pairs", f"""{TOPIC_WORDS}
+SELECT x.execution_id AS pair, x.topic AS a, y.topic AS b, count(*)::DOUBLE / (any_value(p.n) + any_value(q.n) - count(*)) AS similarity
+FROM k x JOIN k y ON y.execution_id = x.execution_id + 1 AND y.w = x.w JOIN n p ON p.execution_id = x.execution_id AND p.topic = x.topic JOIN n q ON q.execution_id = y.execution_id AND q.topic = y.topic
+GROUP BY x.execution_id, x.topic, y.topic HAVING count(*)::DOUBLE / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.3
+""")
 def _(v):
     return M.topic_pairs(keyworded(v, 0), keyworded(v, 1))
 
@@ -36,19 +47,36 @@ def _(v):
     return M.sliding_limit(v.jobs, "tenant_id", "at", 3, 86400)
 
 
-@query("set_batch_contract", "WITH s AS (SELECT doc_id AS id FROM documents WHERE doc_id < 100), g AS (SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'odd' ELSE 'neutro' END AS label FROM documents WHERE doc_id BETWEEN 5 AND 110 UNION ALL SELECT 50, 'neutro'), n AS (SELECT id, count(*) AS n, bool_or(label = 'neutro') AS known FROM g GROUP BY ALL) SELECT coalesce(s.id, n.id) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN s.id IS NULL THEN 'foreign' WHEN n > 1 THEN 'repeated' ELSE 'label' END AS reason FROM s FULL JOIN n ON s.id = n.id WHERE n IS NULL OR s.id IS NULL OR n > 1 OR NOT known")
+ANSWERED = """
+  SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'odd' ELSE 'neutro' END AS label FROM labels UNION ALL SELECT page_id, 'neutro' FROM pages
+"""
+
+
+@query("set_batch_contract", f"""
+WITH s AS (SELECT doc_id AS id FROM documents WHERE lang = 'en'), n AS (SELECT id, count(*) AS n, bool_or(label = 'neutro') AS known FROM ({ANSWERED}) GROUP BY ALL)
+SELECT coalesce(s.id, n.id) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN s.id IS NULL THEN 'foreign' WHEN n > 1 THEN 'repeated' ELSE 'label' END AS reason
+FROM s FULL JOIN n ON s.id = n.id WHERE n IS NULL OR s.id IS NULL OR n > 1 OR NOT known
+""")
 def _(v):
-    d = v.table("documents").select(F.col("doc_id").alias("id"))
-    label = F.when(F.col("id") % 17 == 0, "odd").otherwise("neutro")
-    got = d.where("id between 5 and 110").select("id", label.alias("label")).union(v.spark.range(1).select(F.lit(50).cast("long"), F.lit("neutro")))
-    return M.batch_contract(d.where("id < 100"), got, ("positivo", "neutro", "negativo"))
+    """All English documents are sent; labels and pages answer."""
+    label = F.when(F.col("toxic") == 1, "odd").otherwise("neutro")
+    got = v.table("labels").select(F.col("doc_id").alias("id"), label.alias("label")).union(v.table("pages").select("page_id", F.lit("neutro")))
+    return M.batch_contract(v.table("documents").where("lang = 'en'").select(F.col("doc_id").alias("id")), got, ("positivo", "neutro", "negativo"))
 
 
-@query("sink_corpus", "SELECT source AS video, count(*)::BIGINT AS raw, least(count(*) FILTER (length(trim(text)) > 0), 40)::BIGINT AS exported FROM documents GROUP BY ALL")
+@query("sink_corpus", r"""
+WITH c AS (SELECT doc_id, source AS video, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
+l AS (SELECT *, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS latin FROM c WHERE text <> ''),
+placed AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY md5('42:' || doc_id), doc_id) AS place FROM l WHERE letters = 0 OR latin >= 0.5 * letters)
+SELECT doc_id, video, md5(text) AS digest FROM placed WHERE place <= 400
+""")
 def _(v):
-    d = v.table("documents").select(F.col("source").alias("video"), "doc_id", "text")
-    kept = S.within(d.where(F.length(F.trim("text")) > 0), "video", "doc_id").where("place <= 40").groupBy("video").agg(F.count("*").alias("exported"))
-    return d.groupBy("video").agg(F.count("*").alias("raw")).join(kept, "video", "left").select("video", "raw", F.coalesce("exported", F.lit(0)).alias("exported"))
+    """Canonical texts, without empty and non-Latin ones, at most 400 a video by seeded order (the export's own rule), written and read."""
+    d = v.documents.select("doc_id", F.col("source").alias("video"), T.canonical(F.col("text")).alias("text"))
+    kept = d.where((F.col("text") != "") & T.latin_share_ok(F.col("text")))
+    place = F.row_number().over(W.partitionBy("video").orderBy(S.order_hash("doc_id"), "doc_id"))
+    exported = kept.withColumn("place", place).where("place <= 400").select("doc_id", "video", "text", T.model_text(F.col("text")).alias("model_text"))
+    return Table(v.spark).append(exported).read().select("doc_id", "video", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("agg_video_counts_export", "SELECT source AS video, count(*)::BIGINT AS raw, count(*) FILTER (n_chars > 100)::BIGINT AS kept FROM documents GROUP BY ALL")
@@ -58,18 +86,33 @@ def _(v):
 
 @query("sink_quota_upsert", "SELECT CAST(ts AS DATE) AS day, user_id AS tenant_id, sum(floor(value)::BIGINT)::BIGINT AS units FROM events WHERE ts >= TIMESTAMP '2024-01-25' GROUP BY ALL")
 def _(v):
-    kept = v.jobs.where(F.col("at") >= F.lit("2024-01-25").cast("timestamp"))
-    return kept.groupBy(F.to_date("at").alias("day"), "tenant_id").agg(F.sum("units").alias("units"))
+    """Spending is added as rows, summed when read; old days are pruned."""
+    spent = v.jobs.select(F.to_date("at").alias("day"), "tenant_id", "units", (F.col("job_id") % 2).alias("half"))
+    t = Table(v.spark)
+    for half in (0, 1):
+        t.append(spent.where(F.col("half") == half).groupBy("day", "tenant_id").agg(F.sum("units").alias("units")))
+    return t.read().where("day >= date '2024-01-25'").groupBy("day", "tenant_id").agg(F.sum("units").alias("units"))
+
+
+VERSIONS = "SELECT source || '@' || lang AS version, min(doc_id) AS first FROM documents GROUP BY ALL"
 
 
-@query("version_register", "SELECT source || '@' || lang AS version, min(doc_id)::BIGINT AS first_id FROM documents GROUP BY ALL")
+@query("version_register", f"""
+WITH w AS ({VERSIONS}), old AS (SELECT version, row_number() OVER (ORDER BY version) AS id FROM w WHERE first % 2 = 0),
+new AS (SELECT version, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY version) AS id FROM w WHERE version NOT IN (SELECT version FROM old))
+SELECT version, id::BIGINT AS id FROM old UNION ALL SELECT version, id::BIGINT FROM new
+""")
 def _(v):
-    return v.table("documents").groupBy(F.concat("source", F.lit("@"), "lang").alias("version")).agg(F.min("doc_id").alias("first_id"))
+    """Versions that are registered keep their id, others get the next ones."""
+    w = v.table("documents").groupBy(F.concat("source", F.lit("@"), "lang").alias("version")).agg(F.min("doc_id").alias("first"))
+    t = Table(v.spark).append(L.registered(w.where("first % 2 = 0").select("version"), None))
+    return t.append(L.registered(w.select("version"), t.read())).read()
 
 
 @query("version_activate", "SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'ativo' ELSE 'arquivado' END AS status FROM nation")
 def _(v):
-    return v.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") == 7, "ativo").otherwise("arquivado").alias("status"))
+    t = Table(v.spark).append(v.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") == 3, "ativo").otherwise("arquivado").alias("status")))
+    return t.rewrite(L.activated(t.read(), F.col("n_nationkey") == 7)).read()
 
 
 GRID = "SELECT user_id % 12 AS config, avg(value) AS f1 FROM events GROUP BY ALL"
@@ -88,16 +131,19 @@ def _(v):
     return g.agg(order.alias("o")).select(F.element_at("o", (F.floor(F.size("o") / 2) + 1).cast("int"))["config"].alias("config"))
 
 
-@query("st_adoption_rule", f"SELECT config, f1 - 50.0::DOUBLE >= 0.010::DOUBLE AS adopt FROM ({GRID})")
+@query("st_adoption_rule", f"SELECT config, f1 - (SELECT f1 FROM ({GRID}) WHERE config = 0) >= 0.010::DOUBLE AS adopt FROM ({GRID})")
 def _(v):
+    """Against the simplest configuration."""
     g = v.table("events").groupBy((F.col("user_id") % 12).alias("config")).agg(F.avg("value").alias("f1"))
-    return g.select("config", (F.col("f1") - F.lit(50.0) >= 0.010).alias("adopt"))
+    simple = g.where("config = 0").select(F.col("f1").alias("_f"))
+    return g.crossJoin(F.broadcast(simple)).select("config", (F.col("f1") - F.col("_f") >= ML.ADOPT).alias("adopt"))
 
 
-@query("st_drop_reading", f"SELECT config, CASE WHEN 50.0::DOUBLE - f1 >= 0.03::DOUBLE THEN 'relevant' ELSE 'small' END AS reading FROM ({GRID})")
+@query("st_drop_reading", f"SELECT config, CASE WHEN (SELECT f1 FROM ({GRID}) WHERE config = 0) - f1 >= 0.03::DOUBLE THEN 'relevant' ELSE 'small' END AS reading FROM ({GRID})")
 def _(v):
     g = v.table("events").groupBy((F.col("user_id") % 12).alias("config")).agg(F.avg("value").alias("f1"))
-    return g.select("config", F.when(F.lit(50.0) - F.col("f1") >= 0.03, "relevant").otherwise("small").alias("reading"))
+    simple = g.where("config = 0").select(F.col("f1").alias("_f"))
+    return g.crossJoin(F.broadcast(simple)).select("config", F.when(F.col("_f") - F.col("f1") >= ML.RELEVANT, "relevant").otherwise("small").alias("reading"))
 
 
 USED = "SELECT CAST(ts AS DATE) AS day, sum(floor(value)::BIGINT)::BIGINT AS units FROM events GROUP BY ALL"

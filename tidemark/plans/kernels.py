@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import text as T
 from ..operators import aggregates as A, evaluation as E, lifecycle as L, neardup, sampling as S, topics as TP
 from ..sources import files
+from ..sources.store import through_csv
 from .bindings import TEXTS_SQL
 from .registrar import query
 
@@ -38,7 +39,7 @@ def _(v):
 
 @query("str_topic_clean", "SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\\.)\\S+', ' ', 'g'), '@[\\w.\\-]+', ' ', 'g'), '\\b\\d{1,2}(?::\\d{2}){1,2}\\b', ' ', 'g'), '[\\p{So}\\p{Sk}\\p{Cf}]', ' ', 'g'))) AS digest FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", F.md5(T.topic_clean(F.col("text")).cast("binary")).alias("digest"))
+    return v.documents.select("doc_id", F.md5(T.topic_clean(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("str_symbol_class", "SELECT doc_id, length(regexp_replace(text, '[\\p{So}\\p{Sk}\\p{Cf}]', ' ', 'g'))::INT AS n FROM documents")
@@ -52,24 +53,25 @@ TOKENS_SQL = f"{TX}, tokens AS (SELECT execution_id, comment_id, video, unnest(l
 
 
 def tokens(v):
-    t = T.topic_tokens(F.lower("text"), F.array(*map(F.lit, STOP)))
-    return v.texts.select("execution_id", "comment_id", "video", F.explode(t).alias("token"))
+    """A row a token. Words are exploded first, so that what follows is compiled code over plain strings."""
+    words = v.texts.select("execution_id", "comment_id", "video", F.explode(T.words(F.lower("text"))).alias("word"))
+    return T.only_tokens(words, "word", STOP)
 
 
 @query("str_topic_tokens", f"{TOKENS_SQL} SELECT execution_id, token, count(*)::BIGINT AS n FROM tokens GROUP BY ALL")
 def _(v):
-    return tokens(v).groupBy("execution_id", "token").agg(F.count("*").alias("n"))
+    words = v.texts.select("execution_id", F.explode(T.words(F.lower("text"))).alias("word")).groupBy("execution_id", "word").agg(F.count("*").alias("n"))
+    return T.only_tokens(words, "word", STOP).groupBy("execution_id", "token").agg(F.sum("n").alias("n"))
 
 
 @query("str_topic_prepare", f"{TOKENS_SQL} SELECT comment_id, count(*)::BIGINT AS n FROM tokens GROUP BY ALL")
 def _(v):
-    t = T.topic_tokens(F.lower("text"), F.array(*map(F.lit, STOP)))
-    return v.texts.select("comment_id", F.explode(t).alias("token")).groupBy("comment_id").agg(F.count("*").alias("n"))
+    return tokens(v).groupBy("comment_id").agg(F.count("*").alias("n"))
 
 
 @query("str_lexicon_tokens", f"SELECT doc_id, len({WORDS_SQL.format('text')})::INT AS n FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", F.size(T.words(F.col("text"))).alias("n"))
+    return v.documents.select("doc_id", F.size(T.words(F.col("text"))).alias("n"))
 
 
 @query("str_laughter", "SELECT w, regexp_matches(w, '(?i)^(?:k{2,}|(?:ha){2,}|(?:rs){2,}|h[aeiu]{2,}|s{2,})$') AS laughs FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,6}')) AS w FROM documents)")
@@ -86,12 +88,12 @@ def _(v):
 
 @query("str_twin_normalize")
 def _(v):
-    return v.table("documents").select("doc_id", T.twin_normalize(F.col("text")).alias("norm"))
+    return v.documents.select("doc_id", T.twin_normalize(F.col("text")).alias("norm"))
 
 
 @query("str_char_ngrams")
 def _(v):
-    return v.table("documents").select("doc_id", F.size(T.char_ngrams(T.twin_normalize(F.col("text")))).alias("grams"))
+    return v.documents.select("doc_id", F.size(T.char_ngrams(T.twin_normalize(F.col("text")))).alias("grams"))
 
 
 @query("str_hash", "SELECT doc_id, sha256(source) AS hash FROM documents")
@@ -159,14 +161,14 @@ LEX_SQL = " + ".join(f"{p} * len(list_filter(w, lambda x: x = '{k}'))" for k, p
 @query("udf_lexicon_score", f"SELECT doc_id, ({LEX_SQL})::INT AS score, CASE WHEN {LEX_SQL} > 0 THEN 'positive' WHEN {LEX_SQL} < 0 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT doc_id, {WORDS_SQL.format('lower(text)')} AS w FROM documents)")
 def _(v):
     lexicon = F.create_map(*[F.lit(x) for kv in LEX.items() for x in kv])
-    s = v.table("documents").select("doc_id", T.lexicon_score(T.words(F.lower("text")), lexicon).alias("s"))
+    s = v.documents.select("doc_id", T.lexicon_score(T.words(F.lower("text")), lexicon).alias("s"))
     return s.select("doc_id", "s.score", "s.label")
 
 
 @query("str_justification")
 def _(v):
     lexicon = F.create_map(*[F.lit(x) for kv in LEX.items() for x in kv])
-    s = v.table("documents").select("doc_id", T.lexicon_score(T.words(F.lower("text")), lexicon).alias("s"))
+    s = v.documents.select("doc_id", T.lexicon_score(T.words(F.lower("text")), lexicon).alias("s"))
     return s.select("doc_id", T.justification(F.col("s.terms")).alias("why"))
 
 
@@ -183,13 +185,13 @@ ENTRIES = "SELECT lower(w) AS key, (CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 1 END)
 
 @query("agg_lexicon_index", f"SELECT key, min(polarity)::INT AS polarity FROM ({ENTRIES}) GROUP BY key HAVING min(polarity) = max(polarity)")
 def _(v):
-    w = v.table("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("w"))
+    w = v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("w"))
     return A.lexicon_index(w.select(F.lower("w").alias("key"), F.when(F.col("doc_id") % 5 == 0, -1).otherwise(1).alias("polarity")), "key", "polarity")
 
 
 @query("agg_spelling_mode", "SELECT key, form, occurrences::BIGINT AS occurrences FROM (SELECT key, form, sum(n) OVER (PARTITION BY key) AS occurrences, row_number() OVER (PARTITION BY key ORDER BY n DESC, form) AS r FROM (SELECT lower(w) AS key, w AS form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM documents) GROUP BY ALL)) WHERE r = 1")
 def _(v):
-    w = v.table("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("form"))
+    w = v.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("form"))
     return A.spelling_mode(w.withColumn("key", F.lower("form")), "key", "form")
 
 
@@ -207,10 +209,6 @@ def _(v):
     return found.where("comments >= 3 and concentration >= 0.85").select("execution_id", "token", "dominant")
 
 
-def head(v):
-    return tokens(v).where("comment_id < 300"), v.texts.where("comment_id < 300")
-
-
 @query("udaf_topic_tfidf", f"{TOKENS_SQL}, tf AS (SELECT execution_id, comment_id, token, count(*) AS tf FROM tokens GROUP BY ALL), df AS (SELECT execution_id, token, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT execution_id, count(*) AS n FROM texts GROUP BY ALL), raw AS (SELECT tf.execution_id, comment_id, tf.token, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (execution_id, token) JOIN n USING (execution_id) WHERE df >= 3 AND df <= 0.4 * n) SELECT execution_id, comment_id, count(*)::BIGINT AS tokens, round(max(w) / sqrt(sum(w * w)), 6) AS strongest FROM raw GROUP BY ALL")
 def _(v):
     w = TP.tfidf(tokens(v), v.texts)
@@ -402,9 +400,10 @@ def _(v):
     return S.round_robin(pairs(v), "gold", "doc_id", 60).select("doc_id", "gold", "place")
 
 
-@query("st_stratified_sample", f"WITH {PAIRS_SQL} SELECT gold, least(20, count(*))::BIGINT AS n FROM pairs GROUP BY ALL")
+@query("st_stratified_sample", f"WITH {PAIRS_SQL} SELECT doc_id, gold FROM (SELECT doc_id, gold, row_number() OVER (PARTITION BY gold ORDER BY md5('42:' || doc_id), doc_id) AS place FROM pairs) WHERE place <= 20")
 def _(v):
-    return S.within(pairs(v), "gold", "doc_id").where("place <= 20").groupBy("gold").agg(F.count("*").alias("n"))
+    """The members of a sample of 20 a class."""
+    return S.within(pairs(v), "gold", "doc_id").where("place <= 20").select("doc_id", "gold")
 
 
 # Twins --------------------------------------------------------------------------------------------------------
@@ -584,7 +583,7 @@ def _(v):
 def _(v):
     label = F.when(F.col("doc_id") % 10 == 0, "x").when(F.col("doc_id") % 10 == 1, "").otherwise("positivo")
     rows = v.table("documents").select(F.col("doc_id").cast("string").alias("id"), label.alias("label"), F.col("doc_id").alias("at"))
-    return files.validate_labels(rows, "id", "label", "at")[1].groupBy("reason").agg(F.count("*").alias("n"))
+    return files.validate_labels(through_csv(rows).withColumn("at", F.col("at").cast("long")), "id", "label", "at")[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("src_api_errors", "SELECT event_type, CASE event_type WHEN 'error' THEN 'transient' WHEN 'view' THEN 'empty' WHEN 'click' THEN 'quota' ELSE 'permanent' END AS class, count(*)::BIGINT AS n FROM events GROUP BY ALL")

@@ -64,10 +64,10 @@ def _(v):
     return A.reach(per_video, v.comments, "execution_id")
 
 
-@query("join_in_memory_lookup", f"{WC}, d AS ({counts_sql('(SELECT * FROM comments WHERE partkey % 97 = 0)', 'execution_id, youtube_id')}) SELECT s.execution_id, s.youtube_id, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in (*SENTIMENTS, "total")) + " FROM (SELECT DISTINCT execution_id, youtube_id FROM orders_v) s LEFT JOIN d USING (execution_id, youtube_id)")
+@query("join_in_memory_lookup", f"{WC}, d AS ({counts_sql('comments', 'execution_id, youtube_id')}) SELECT s.execution_id, s.youtube_id, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in (*SENTIMENTS, "total")) + " FROM (SELECT DISTINCT execution_id, youtube_id FROM orders_v) s LEFT JOIN d USING (execution_id, youtube_id)")
 def _(v):
     spine = v.orders.select("execution_id", "youtube_id").distinct()
-    return A.with_empty(spine, A.distribution(v.comments.where("partkey % 97 = 0"), "execution_id", "youtube_id"), ["execution_id", "youtube_id"])
+    return A.with_empty(spine, videos(v), ["execution_id", "youtube_id"])
 
 
 @query("agg_available_results", f"{RUNS} SELECT tenant_id, model_id, execution_id, completed_at, positive, neutral, negative, total, (SELECT count(*) FROM videos v WHERE v.execution_id = runs.execution_id)::BIGINT AS videos, (SELECT count(*) FROM topics t WHERE t.execution_id = runs.execution_id)::BIGINT AS topics FROM runs JOIN executions USING (model_id, execution_id, completed_at)")
