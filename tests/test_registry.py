@@ -24,7 +24,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES)[::6])
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, duck, name):
     def plain(x):
         return round(x, 6) + 0.0 if isinstance(x, float) else x

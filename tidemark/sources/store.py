@@ -72,11 +72,11 @@ class Table:
 
 
 def through_csv(df: DataFrame) -> DataFrame:
-    """df written as CSV with a header and read again, as strings; quotes, line ends and blanks in texts survive."""
+    """df written as CSV with a header and read again, as strings; quotes, line ends and blanks in texts, empty texts and nulls survive."""
     path = shared_folder(df.sparkSession)
-    options = {"header": True, "escape": '"', "multiLine": True, "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(**{k: v for k, v in options.items() if k != "multiLine"}).csv(path)
-    return df.sparkSession.read.options(**options | {"emptyValue": ""}).csv(path)
+    options = {"header": True, "escape": '"', "nullValue": r"\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**options).csv(path)
+    return df.sparkSession.read.options(**options, multiLine=True).csv(path)
 
 
 def through_json(df: DataFrame, schema: str) -> DataFrame:
