@@ -28,7 +28,7 @@ CAPACITY = 2048
 ISLAND = 8192  # pieces an island holds, about
 POPULATION, ELITES = 10, 48
 EFFORT = 200_000  # pieces times generations of an island; 24 generations of a full one, GENERATIONS of a small one
-GENERATIONS, PAIRS = 400, 48  # the most generations, and displaced pieces up to which they are also tried in pairs
+GENERATIONS, PAIRS, FEW = 400, 48, 12  # the most generations; displaced pieces, and pieces of a bin, up to which they are also tried in pairs
 SEPARATOR = (0).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -159,29 +159,33 @@ class Island:
         self.rng.shuffle(order)
         size = self.sizes.__getitem__
 
-        def offers():
-            out = [(size(i), (i,)) for i in loose]
-            if len(loose) <= PAIRS:
-                out += [(size(i) + size(j), (i, j)) for i, j in combinations(loose, 2)]
-            return sorted(out)
-
-        on_offer = offers()
+        paired = len(loose) <= PAIRS
+        on_offer = [(size(i), (i,)) for i in loose]
+        if paired:
+            on_offer += [(size(i) + size(j), (i, j)) for i, j in combinations(loose, 2)]
+        on_offer.sort()
+        keys = [o[0] for o in on_offer]
         for k in order:
             b = bins[k]
             room = self.capacity - self.fill(b)
             if not room or not on_offer:
                 continue
             best, swap = 0, None
-            for out in [(), *((i,) for i in b), *combinations(b, 2)]:
+            for out in [(), *((i,) for i in b), *(combinations(b, 2) if len(b) <= FEW else ())]:
                 gone = sum(map(size, out))
-                at = bisect_right(on_offer, gone + room, key=lambda o: o[0]) - 1
-                if at >= 0 and on_offer[at][0] - gone > best:
-                    best, swap = on_offer[at][0] - gone, (out, on_offer[at][1])
+                at = bisect_right(keys, gone + room) - 1
+                if at >= 0 and keys[at] - gone > best:
+                    best, swap = keys[at] - gone, (out, on_offer[at][1])
             if swap:
                 out, put = set(swap[0]), set(swap[1])
                 bins[k] = [i for i in b if i not in out] + list(put)
-                loose = [i for i in loose if i not in put] + list(out)
-                on_offer = offers()
+                left = [i for i in loose if i not in put]
+                on_offer = [o for o in on_offer if put.isdisjoint(o[1])] + [(size(i), (i,)) for i in out]
+                if paired:
+                    on_offer += [(size(i) + size(j), (i, j)) for i in out for j in left] + [(size(i) + size(j), (i, j)) for i, j in combinations(out, 2)]
+                on_offer.sort()  # in order but for the new ones
+                keys = [o[0] for o in on_offer]
+                loose = left + list(out)
         return loose
 
     def injected(self, into: list[list[int]], good: list[list[int]]) -> list[list[int]]:
@@ -235,24 +239,30 @@ class Island:
     def evolve(self, start: list[list[int]] | None, elites: list[list[int]]) -> list[list[int]]:
         every = list(range(len(self.sizes)))
         first = start if start is not None else self.best_fit([], every)
-        pop = [first]
-        if start is not None:
-            pop.append(self.injected(first, self.patterns(elites)))
         floor = -(-sum(self.sizes) // self.capacity)
-        pop.sort(key=self.score, reverse=True)
-        while len(pop) < POPULATION and len(pop[0]) > floor:
-            pop.append(self.mutate(first))
+        pop = [(self.score(first), first)]  # individuals with their scores, which are counted once
+
+        def join(new: list[list[int]]) -> None:
+            score = self.score(new)
+            if all(own != score for own, _ in pop):
+                pop.append((score, new))
+
+        if start is not None and len(first) > floor:
+            join(self.injected(first, self.patterns(elites)))
+        for _ in range(POPULATION):
+            if min(len(p) for _, p in pop) > floor:  # none reaches the bound yet
+                join(self.mutate(first))
         for _ in range(min(GENERATIONS, EFFORT // max(1, len(self.sizes)))):
-            pop.sort(key=self.score, reverse=True)
-            if len(pop[0]) <= floor:
+            pop.sort(key=lambda p: p[0], reverse=True)
+            del pop[POPULATION:]
+            if len(pop[0][1]) <= floor or len(pop) < 2:
                 break
             a, b = (min(self.rng.sample(range(len(pop)), 2)) for _ in range(2))  # the better of two, twice
-            child = self.cross(pop[a], pop[b]) if a != b else self.mutate(pop[a])
-            for new in (child, self.mutate(child)):
-                if all(self.score(new) != self.score(p) for p in pop):
-                    pop.append(new)
-            pop = sorted(pop, key=self.score, reverse=True)[:POPULATION]
-        return max(pop, key=self.score)
+            child = self.cross(pop[a][1], pop[b][1]) if a != b else self.mutate(pop[a][1])
+            join(child)
+            if len(child) > floor:
+                join(self.mutate(child))
+        return max(pop, key=lambda p: p[0])[1]
 
 
 PACKED = "island int, " + PIECES + ", bin int"
