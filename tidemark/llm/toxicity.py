@@ -6,8 +6,8 @@ together by per-document Adagrad steps, so a misspelling unseen in training scor
 With two classes the score needs one number a table row (its vector along the weights' difference); that vector is
 broadcast, 4 bytes times BUCKETS.
 
-Training uses at most SAMPLE rows of each class, those with the smallest hash of their id; tasks make their bags of table rows, and
-only those reach the driver (12 bytes a distinct row of a text, whatever its length). The table, the sample and the
+Training uses at most SAMPLE rows of each class, those with the smallest hash of their id; tasks count their words, and
+only the distinct words of a text and their counts reach the driver. The table, the sample and the
 model do not grow with the corpus. The first dimension starts as naive Bayes log-odds. Scoring is a narrow map over all documents.
 
 Edge cases: null or wordless text scores by the bias alone; repeated rows score alike; no labels of a class
@@ -71,12 +71,23 @@ class Bags:
 
     @staticmethod
     def one(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+        return Bags.of(*Bags.counted(text), cache)
+
+    @staticmethod
+    def counted(text: str) -> tuple[list[str], np.ndarray]:
+        """The distinct words of a text, in order, and their counts."""
         words = WORD.findall(text.lower())
         if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+            return [], np.zeros(0, np.int64)
         names, counts = np.unique(words, return_counts=True)
-        rows = [cache[w] for w in map(str, names)]
-        weights = [np.full(len(r), c / len(words) / len(r)) for r, c in zip(rows, counts)]
+        return list(map(str, names)), counts
+
+    @staticmethod
+    def of(names: list[str], counts: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+        if not names:
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        rows, total = [cache[w] for w in names], int(counts.sum())
+        weights = [np.full(len(r), c / total / len(r)) for r, c in zip(rows, counts)]
         flat, at = np.unique(np.concatenate(rows), return_inverse=True)
         return flat.astype(np.int32), np.bincount(at, np.concatenate(weights)).astype(np.float32)
 
@@ -142,17 +153,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, size:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray, float]:
     def run(batches):
-        cache = Bags.cache()
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                bags = [Bags.one(t, cache) for t in part.column(1).to_pylist()]
-                packed = [pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], ["doc_id", "class", "rows", "weights"])
+                counted = [Bags.counted(t) for t in part.column(1).to_pylist()]
+                packed = [pa.array([" ".join(w) for w, _ in counted], pa.string()), pa.array([n.astype(np.int32).tobytes() for _, n in counted], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], ["doc_id", "class", "words", "counts"])
 
     some = sample(docs, labels, "toxic", usable).select(F.col("doc_id").cast("long"), "text", F.col("_class").cast("int"))
-    bags = sorted(some.mapInArrow(run, "doc_id long, class int, rows binary, weights binary").collect())
-    return train_bags(((np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in bags), [r["class"] for r in bags])
+    rows = sorted(some.mapInArrow(run, "doc_id long, class int, words string, counts binary").collect())
+    cache = Bags.cache()
+    return train_bags((Bags.of(r["words"].split(), np.frombuffer(r["counts"], np.int32), cache) for r in rows), [r["class"] for r in rows])
 
 
 def _scorer(model: tuple[np.ndarray, float]):
