@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
+from . import bpe, license_scan, packing, pieces, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
 from .io import shared_dir, spread, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -58,6 +58,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
+def op12_sentencepiece_round_trip(spark, sf_dir):
+    return pieces.digests(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_sentencepiece_round_trip": op12_sentencepiece_round_trip,
 }
 #: The other operators need hashes, regular-expression tables, learned models or tokenizers that SQL doesn't have, or take
 #: too long there; tests/llm holds them against brute force.
