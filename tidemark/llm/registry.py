@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, pieces, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
+from . import audit, bpe, license_scan, packing, pieces, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
 from .io import shared_dir, spread, table
 
 
@@ -62,6 +62,10 @@ def op12_sentencepiece_round_trip(spark, sf_dir):
     return pieces.digests(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_sentencepiece_round_trip": op12_sentencepiece_round_trip,
+    "op13_filter_audit": op13_filter_audit,
 }
 #: The other operators need hashes, regular-expression tables, learned models or tokenizers that SQL doesn't have, or take
 #: too long there; tests/llm holds them against brute force.
@@ -106,5 +111,40 @@ covered AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest(range(
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN l USING (doc_id)
+),
+counts AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+filter_orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter AS a, letter AS b, letter AS c, letter AS d, letter AS e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (SELECT o, s, substr(o, s, 1) AS own, substr(o, 1, s - 1) AS earlier FROM filter_orders, (SELECT unnest(range(1, 6)) AS s)),
+met AS (
+  SELECT part, o, s, own, f, n, good, toxic, contains(f, own) AS fails, earlier <> '' AND len(list_intersect(string_split(earlier, ''), string_split(f, ''))) > 0 AND f <> '' AS gone
+  FROM counts, steps
+),
+said AS (
+  SELECT part, o AS filter_order, s::INTEGER AS step, own,
+    coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (f = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, o, s, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM said
 """,
 }
