@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audit, bpe, license_scan, packing, pieces, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, vptree
+from . import audit, bpe, license_scan, packing, pieces, qda, quality_rules, simhash, substring, suffix_dedup, toxicity, trie, vptree
 from .io import shared_dir, spread, table
 
 
@@ -58,6 +58,11 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
+def op11_conversation_trie(spark, sf_dir):
+    shared_dir(spark)
+    return trie.prefix_trie(spread(table(spark, sf_dir, "conversations")))
+
+
 def op12_sentencepiece_round_trip(spark, sf_dir):
     return pieces.digests(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_sentencepiece_round_trip": op12_sentencepiece_round_trip,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -111,6 +117,37 @@ covered AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest(range(
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op11_conversation_trie": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT conv_id, list({'label': label, 'size': size} ORDER BY turn NULLS FIRST, role, label) AS l FROM t GROUP BY conv_id),
+steps AS (  -- CRC-32 of the decimal: each byte comes in, then eight shifts
+  SELECT conv_id, l, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [unicode(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS x FROM own
+),
+heads AS (
+  SELECT conv_id, l,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM steps
+),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS p FROM heads AS a LEFT JOIN own AS b ON b.conv_id = a.conv_id - a.conv_id % 5
+),
+members AS (SELECT conv_id, p, d, list_transform(p[1:d], lambda x: x.label) AS k FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(p[d].size), 0) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = d), '')) AS ends
+  FROM members GROUP BY k, d
+),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+linked AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (k)),
+sums AS (
+  SELECT k[1:e] AS k, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * size) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM linked) GROUP BY ALL
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n::BIGINT AS n_convs, a.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM linked AS a JOIN sums USING (k) LEFT JOIN nodes AS b ON a.d > 0 AND b.k = a.k[1:a.d - 1]
 """,
     "op13_filter_audit": r"""
 WITH d AS (
