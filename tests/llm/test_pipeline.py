@@ -61,3 +61,53 @@ def test_any_further_column(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", *names] and got, name
         assert all(r[n] == f"{r.doc_id}{n}" for r in got for n in names), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(got)
+
+
+def kept_rows(spark, rows, name="simhash_near_dedup"):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted((tuple(r) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, "").collect()), key=repr)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Each text of a doc_id goes only with its own component, whatever the order of rows."""
+    a, b, c = ("en", "s", 0), ("fr", "s", 0), ("en", "t", 1)
+    one, two, three = "the first text of some ten words that stays alone here", "another one which has nothing in common with that before it", "a third that comes without any identifier but must stay as well"
+    rows = [(3, one, *a), (5, one, *a), (5, two, *a), (5, two, *b), (5, two, *b), (7, two.upper(), *c), (None, three, *a), (None, three, *a), (None, one, *a), (8, three, *a), (8, three, *a)]
+    want = None
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        got = kept_rows(spark, order)
+        assert sorted((i, t) for i, t, *_ in got if i is not None) == [(3, one), (5, two), (8, three)]
+        assert sum(i is None for i, *_ in got) == 3  # rows without doc_id pass
+        assert want in (None, got)
+        want = got
+
+
+def test_quality_and_toxicity_decisions(spark, tmp_path):
+    """Both stages keep what the operators' verdicts on their input say."""
+    import random
+
+    from tidemark.llm import quality_rules, toxicity
+    from tidemark.llm.io import table
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        bad, foul = i % 3 == 0, i % 4 == 1
+        said = [rng.choice(words) for _ in range(40)] + ["#$%" if bad else "fine"] * 6 + (["idiot", "idiotic", "1diot"] if foul else [])
+        rng.shuffle(said)
+        rows.append((i, " ".join(said) if i % 50 else ["few words", None, ""][i % 3], ["en", "fr", None][i % 3 if not bad else 0], "s", 0))
+        labels.append((i, int(not bad), int(foul)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    said = table(spark, str(tmp_path), "labels")
+    stages = dict(corpus_pipeline.STAGES)
+    verdict = {r.doc_id for r in quality_rules.assess(docs, said).collect() if r.kept}
+    got = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == verdict and 0 < len(verdict) < 900
+    assert verdict == {i for i, t, *_ in rows if i in verdict and len((t or "").split()) >= 10}
+    predicted = {r.doc_id for r in toxicity.assess(docs, said).collect() if r.predicted == 0}
+    kept = {r.doc_id for r in stages["toxicity"](spark, docs, str(tmp_path)).collect()}
+    assert kept == predicted
+    foul = {i for i, _, t in labels if t and rows[i][1] and len(rows[i][1]) > 20}
+    assert len(foul & kept) < 0.1 * len(foul) and len(kept - foul) > 0.95 * (900 - len(foul))

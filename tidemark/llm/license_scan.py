@@ -43,20 +43,40 @@ def _base_places(words: Column) -> Column:
     return F.filter(every, lambda e: e["label"].isNotNull())
 
 
+BLOCK = 128  # numbers summed in one go
+
+
+def running(numbers: Column) -> Column:
+    """The sums of the numbers up to each of them. Blocks are summed and then moved by the sum of those before, since an array that
+    grows element by element is copied each time."""
+    none = F.array().cast("array<bigint>")
+
+    def sums(xs: Column) -> Column:
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["all"], F.array(s["sum"] + x)).alias("all"))
+        return F.aggregate(xs, F.struct(F.lit(0).cast("bigint").alias("sum"), none.alias("all")), step)
+
+    def blocks(xs: Column) -> Column:
+        block = lambda k: F.transform(F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, F.size(xs)) - 1), lambda i: F.get(xs, i))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: sums(block(k)))
+
+    def moved(blocks: Column) -> Column:
+        before = sums(F.transform(blocks, lambda b: b["sum"]))["all"]
+        return let(before, lambda at: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b["all"]).otherwise(F.transform(b["all"], lambda x: x + F.get(at, i - 1))))))
+
+    return F.when(F.size(numbers) == 0, none).otherwise(let(numbers, lambda xs: let(blocks(xs), moved)))
+
+
 def _intervals(norm: Column, rule: Column, order: Column) -> Column:
     """Matches of one rule as (start, -end, tier, order, label)."""
     found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
     parts = F.split(norm, rule["pattern"])
 
     def place(m: Column, p: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            start = s["end"] + F.length(F.get(p, i))
-            end = start + F.length(F.get(m, i))
-            item = F.struct(start.alias("start"), (-end).alias("neg_end"), rule["tier"].alias("tier"), order.alias("rule"), rule["label"].alias("label"))
-            return F.struct(end.alias("end"), F.concat(s["all"], F.array(item)).alias("all"))
-
-        empty = F.array().cast("array<struct<start:int,neg_end:int,tier:int,rule:int,label:string>>")
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("end"), empty.alias("all")), step, lambda s: s["all"])
+        lengths = F.transform(m, lambda x, i: (F.length(F.get(p, i)) + F.length(x)).cast("bigint"))
+        item = lambda end, i: F.struct(
+            (end - F.length(F.get(m, i))).cast("int").alias("start"), (-end).cast("int").alias("neg_end"), rule["tier"].alias("tier"), order.alias("rule"), rule["label"].alias("label")
+        )
+        return let(running(lengths), lambda ends: F.transform(ends, item))
 
     none = F.array().cast("array<struct<start:int,neg_end:int,tier:int,rule:int,label:string>>")
     return let(F.struct(found.alias("m"), parts.alias("p")), lambda x: F.when(F.size(x["m"]) > 0, place(x["m"], x["p"])).otherwise(none))

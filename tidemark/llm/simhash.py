@@ -44,15 +44,16 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and string columns to carry along, of each row."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    carried = "".join(f", `{c}` string" for c in extra)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra).mapInArrow(run, f"doc_id long, fp long{carried}")
 
 
 def forest(values: np.ndarray, bits: int = 3) -> list[tuple[int, int]]:
@@ -112,13 +113,24 @@ def edges(prints: DataFrame, parts: int) -> DataFrame:
     return posted.repartition(parts, "key").mapInArrow(link, "a long, b long")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, least (its smallest doc_id) and root (the fingerprint that names the component) of each distinct fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    root = stars(edges(distinct, partitions(prints.sparkSession)))
+    return distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of each row. Fingerprints are checkpointed: texts are read once."""
-    parts = partitions(docs.sparkSession)
     prints = fingerprints(docs).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = stars(edges(distinct, parts))
-    rooted = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("fp", "component_id")
+    roots = rooted(prints)
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = roots.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, own: str) -> DataFrame:
+    """doc_id and own of the row that stands for each component: of those with a doc_id the smallest, by own among rows of one doc_id."""
+    prints = fingerprints(docs.where("doc_id is not null"), own).checkpoint()
+    named = prints.join(rooted(prints).select("fp", "root"), "fp")
+    return named.groupBy("root").agg(F.min(F.struct("doc_id", own)).alias("_r")).select("_r.*")
