@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return rows of
 the documents' own columns. Extra columns, whatever their names, pass through.
 
-Edge cases are those of the operators that the stages call; a repeated row of a doc_id goes in near-dedup, and
-rows without doc_id pass through it.
+Edge cases are those of the operators that the stages call. Rows of one doc_id with different texts are different documents to
+near-dedup: each goes only with its own component; rows without doc_id pass through it.
 """
 
 from __future__ import annotations
@@ -38,28 +38,43 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each SimHash component."""
+    """One row of each SimHash component: that with the smallest doc_id, among rows of one doc_id by digests of text and row.
+
+    Which row stays depends on the rows alone, not on their order. Of rows that agree in every column one stays.
+    Rows without doc_id stay and are dealt by text."""
     shared_dir(spark)
-    own = "_id"
-    while own in docs.columns:
-        own += "_"
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    dealt = docs.repartition(partitions(spark), "doc_id")
-    rows = dealt.join(kept, F.col("doc_id") == F.col(own), "left").where(F.col(own).isNotNull() | F.col("doc_id").isNull()).drop(own)
-    at = docs.columns.index("doc_id")
+    id_, own, key, where, repeated = (free(docs, c) for c in ("_id", "_own", "_key", "_where", "_again"))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # kinds that can be hashed
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    named = docs.withColumn(own, F.concat(text, F.lpad(F.hex(F.xxhash64(*plain)), 16, "0")))
+    kept = simhash.representatives(named, own).select(F.col("doc_id").alias(id_), F.col(own).alias(key))
+    # rows that agree in every column: few, and only they are remembered
+    again = named.groupBy(F.col("doc_id").alias(id_), F.col(own).alias(key)).agg((F.count("*") > 1).alias(repeated)).where(repeated)
+    chosen = kept.join(again, [id_, key], "left")
+    dealt = named.withColumn(where, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).repartition(partitions(spark), where)
+    met = dealt.join(chosen, (F.col(where) == F.col(id_)) & (F.col(own) == F.col(key)), "left")
+    rows = met.where(F.col(id_).isNotNull() | F.col("doc_id").isNull()).select(*docs.columns, F.when(F.col("doc_id").isNotNull() & F.col(repeated), F.col(own)).alias(repeated))
 
     def once(batches):
-        seen: set = set()  # of this partition, which holds all rows of a doc_id
+        seen: set[str] = set()  # of this partition, which holds all rows of a doc_id
         for b in batches:
             keep = []
-            for d in b.column(at).to_pylist():
-                keep.append(d is None or d not in seen)
-                seen.add(d)
-            yield b if all(keep) else b.filter(pa.array(keep))
+            for mark in b.column(b.num_columns - 1).to_pylist():
+                keep.append(mark is None or mark not in seen)
+                seen.add(mark)
+            out = b.select(list(range(b.num_columns - 1)))
+            yield out if all(keep) else out.filter(pa.array(keep))
 
     return rows.mapInArrow(once, docs.schema)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages that start earlier in the corpus."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
