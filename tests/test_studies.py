@@ -27,7 +27,7 @@ def macro(pairs):
 
 def test_paired_bootstrap(spark):
     rows, df = labelled(spark)
-    got = [E.bootstrap_paired(df.repartition(p), "gold", "a", "b", CLASSES, "id", resamples=400).first() for p in (1, 5)]
+    got = [E.bootstrap_paired(df.repartition(p), "gold", "a", "b", CLASSES, resamples=400).first() for p in (1, 5)]
     assert got[0] == got[1]  # whatever the partitioning
     delta = macro([(g, a, 1) for _, g, a, _, _ in rows]) - macro([(g, b, 1) for _, g, _, b, _ in rows])
     assert got[0].delta == pytest.approx(delta) and got[0].low < delta < got[0].high and got[0].resamples == 400
@@ -37,7 +37,7 @@ def test_bootstrap_within_strata(spark):
     rows, df = labelled(spark)
     size = {"negative": 1000, "neutral": 50, "positive": 500}
     population = spark.createDataFrame(list(size.items()), "weak string, N long")
-    got = E.bootstrap_strata(df, "gold", "a", CLASSES, "id", "weak", population, resamples=300).first()
+    got = E.bootstrap_strata(df, "gold", "a", CLASSES, "weak", population, resamples=300).first()
     n = {c: sum(r[4] == c for r in rows) for c in CLASSES}
     assert got.macro_f1 == pytest.approx(macro([(g, a, size[w] / n[w]) for _, g, a, _, w in rows])) and got.low < got.macro_f1 < got.high
 

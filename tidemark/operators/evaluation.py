@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .aggregates import fraction
@@ -74,39 +76,68 @@ def weighted_macro_f1(rows: DataFrame, gold: str, predicted: str, weight: Column
     return rows.groupBy(*keys).agg(F.array(*per).alias("x")).select(*keys, f1.alias("macro_f1"))
 
 
-def bootstrap_paired(pairs: DataFrame, gold: str, a: str, b: str, classes: tuple[str, ...], unit: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
+def resampled(cells: DataFrame, resamples: int, seed: int, *strata: str) -> DataFrame:
+    """Draws of whole samples from counts of equal rows: b (0 is the data itself) and drawn, how often each cell comes in draw b.
+
+    Where the unit drawn is the row, equal rows differ in nothing, so the counts of a draw are multinomial over the cells (within
+    each of the strata columns, if any): the work depends on the cells, not on the rows. cells: n and key columns, a few rows by
+    their nature (tuples of classes and strata), which every task gets whole."""
+    keys = [c for c in cells.columns if c != "n"]
+    one = cells.agg(F.sort_array(F.collect_list(F.struct(*keys, F.col("n").cast("long").alias("n")))).alias("cells"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in cells.dtypes if c != "n")
+
+    def draw(batches):
+        for pdf in batches:
+            for b, every in zip(pdf["b"], pdf["cells"], strict=True):
+                frame = pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in every])
+                n = frame["n"].to_numpy()
+                drawn = n.copy()
+                if b:
+                    rng = np.random.default_rng([seed, int(b)])
+                    groups = frame.groupby(list(strata), dropna=False, sort=True).indices.values() if strata else [np.arange(len(n))]
+                    for at in groups:
+                        drawn[at] = rng.multinomial(n[at].sum(), n[at] / n[at].sum())
+                yield frame.drop(columns="n").assign(b=b, drawn=drawn)[["b", *keys, "drawn"]]
+
+    draws = cells.sparkSession.range(resamples + 1).withColumnRenamed("id", "b").crossJoin(F.broadcast(one))  # one row
+    return draws.mapInPandas(draw, f"b long, {schema}, drawn long")
+
+
+def bootstrap_paired(pairs: DataFrame, gold: str, a: str, b: str, classes: tuple[str, ...], resamples: int = 2000, seed: int = 42) -> DataFrame:
     """Macro F1 of a less that of b, and its percentile interval with the same draws for both. One row."""
-    cells = pairs.groupBy(unit, gold, a, b).agg(F.count("*").alias("c"))
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b_")).withColumnRenamed("b_", "_b").withColumnRenamed(b, "_second").withColumnRenamed("_b", "b")
-    w = F.col("c") * F.when(F.col("b") == 0, 1).otherwise(drawn_weight(unit, seed))  # draw 0 is the data
-    one, two = weighted_macro_f1(drawn, gold, a, w, classes, "b"), weighted_macro_f1(drawn, gold, "_second", w, classes, "b").withColumnRenamed("macro_f1", "second")
-    delta = one.join(two, "b").select("b", (F.col("macro_f1") - F.col("second")).alias("d"))
+    cells = pairs.groupBy(F.col(gold).alias("gold"), F.col(a).alias("first"), F.col(b).alias("second")).agg(F.count("*").alias("n"))
+    drawn = resampled(cells, resamples, seed)
+    one, two = (weighted_macro_f1(drawn, "gold", c, F.col("drawn"), classes, "b").withColumnRenamed("macro_f1", c) for c in ("first", "second"))
+    delta = one.join(two, "b").select("b", (F.col("first") - F.col("second")).alias("d"))
     of_draws = F.when(F.col("b") > 0, F.col("d"))
     return delta.agg(F.max(F.when(F.col("b") == 0, F.col("d"))).alias("delta"), F.percentile(of_draws, 0.025).alias("low"), F.percentile(of_draws, 0.975).alias("high"), F.count(of_draws).alias("resamples"))
 
 
-def bootstrap_strata(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, stratum: str, population: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Macro F1 for a population from a sample stratified otherwise: every row weighs N_s / n_s (population: stratum, N), and is redrawn within
-    its stratum, whose weights are scaled back to N_s in every draw. One row."""
-    cells = pairs.groupBy(stratum, unit, gold, predicted).agg(F.count("*").alias("c"))
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b")).withColumn("_w", F.col("c") * F.when(F.col("b") == 0, 1).otherwise(drawn_weight(unit, seed)))
-    sizes = drawn.groupBy(stratum, "b").agg(F.sum("_w").alias("_n"))
-    rows = drawn.join(sizes, [stratum, "b"]).join(F.broadcast(population), stratum).where("_n > 0")  # a row a stratum
-    scores = weighted_macro_f1(rows, gold, predicted, F.col("_w") * F.col("N") / F.col("_n"), classes, "b")
+def bootstrap_strata(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], stratum: str, population: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Macro F1 for a population from a sample stratified otherwise: every row weighs N_s / n_s (population: stratum, N), and samples of the
+    same size are redrawn within each stratum. One row."""
+    cells = pairs.groupBy(F.col(stratum).alias("stratum"), F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    sizes = cells.groupBy("stratum").agg(F.sum("n").alias("_n")).join(population.select(F.col(stratum).alias("stratum"), "N"), "stratum")
+    rows = resampled(cells, resamples, seed, "stratum").join(F.broadcast(sizes), "stratum")  # a row a stratum
+    scores = weighted_macro_f1(rows, "gold", "predicted", F.col("drawn") * F.col("N") / F.col("_n"), classes, "b")
     of_draws = F.when(F.col("b") > 0, F.col("macro_f1"))
     return scores.agg(F.max(F.when(F.col("b") == 0, F.col("macro_f1"))).alias("macro_f1"), F.percentile(of_draws, 0.025).alias("low"), F.percentile(of_draws, 0.975).alias("high"), F.count(of_draws).alias("resamples"))
 
 
-def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Percentile intervals of each class's F1 and of macro F1 over the classes present, resampling whole units (a row id or a cluster).
+def bootstrap_macro_f1(pairs: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], unit: str | None = None, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Percentile intervals of each class's F1 and of macro F1 over the classes present, resampling rows, or whole clusters if unit names one.
 
     A class without support in a resample is left out there, so `resamples` counts the draws that an interval rests on.
 
-    Each unit's weight in a resample is Poisson(1) from a hash of (unit, resample), so no task needs all rows and
-    the draws don't depend on the partitioning. Units are first summed to their confusion cells."""
-    cells = pairs.groupBy(unit, gold, predicted).agg(F.count("*").alias("c"))
-    weight = drawn_weight(unit, seed)
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("b", gold, predicted, (F.col("c") * weight).alias("w")).where("w > 0")
+    Rows are drawn as counts of confusion cells. A cluster's weight in a resample is Poisson(1) from a hash of (unit, resample), so no
+    task needs all rows and the draws don't depend on the partitioning; clusters are first summed to their confusion cells."""
+    if unit is None:
+        cells = pairs.groupBy(F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+        drawn = resampled(cells, resamples, seed).where("b > 0").withColumnRenamed("drawn", "w")
+        gold, predicted = "gold", "predicted"
+    else:
+        cells = pairs.groupBy(unit, gold, predicted).agg(F.count("*").alias("c"))
+        drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("b", gold, predicted, (F.col("c") * drawn_weight(unit, seed)).alias("w")).where("w > 0")
     parts = [F.struct(F.lit(c).alias("class"), F.sum(F.when((F.col(gold) == c) & (F.col(predicted) == c), F.col("w")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(predicted) == c, F.col("w")).otherwise(0)).alias("pp"), F.sum(F.when(F.col(gold) == c, F.col("w")).otherwise(0)).alias("s")) for c in classes]
     per = drawn.groupBy("b").agg(F.array(*parts).alias("x"))
     f1 = lambda t: F.coalesce(F.try_divide(2.0 * t["tp"], (t["pp"] + t["s"]).cast("double")), F.lit(0.0))

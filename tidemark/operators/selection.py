@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -17,11 +16,6 @@ from . import evaluation as E, sampling as S
 ADOPT, RELEVANT = 0.010, 0.03
 
 
-def grid() -> list[dict]:
-    """Twelve configurations, simplest first: words before characters, no class weights before weights, strong regularisation first."""
-    return [{"config": i, "analyzer": a, "balanced": w, "C": c} for i, (a, w, c) in enumerate(product(("word", "char_wb"), (False, True), (0.1, 1.0, 10.0)))]
-
-
 def fold_scores(predictions: DataFrame, gold: str, predicted: str, classes: tuple[str, ...], *keys: str) -> DataFrame:
     """keys and macro F1, the denominator fixed by the class set."""
     return E.weighted_macro_f1(predictions, gold, predicted, F.lit(1), classes, *keys)

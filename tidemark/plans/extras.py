@@ -1,11 +1,11 @@
-"""Queries: matching, limits, exports, registry of versions, selection rules, gauges, the linear baseline."""
+"""Queries: matching, limits, exports, registry of versions, selection rules, gauges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import baseline, lifecycle as L, matching as M, sampling as S, selection as ML, topics as TP
+from ..operators import lifecycle as L, matching as M, sampling as S, selection as ML, topics as TP
 from ..sources.store import Table
 from .bindings import ORDERS_SQL, TOPICS_SQL
 from .kernels import PAIRS_SQL, pairs, tokens
@@ -200,13 +200,6 @@ def _(v):
     return v.table("documents").select("doc_id").join(v.table("labels"), "doc_id", "left_anti").orderBy("doc_id").limit(50)
 
 
-@query("ml_tfidf_logreg")
-def _(v):
-    d = pairs(v).join(v.table("documents").select("doc_id", "text"), "doc_id")
-    out = baseline.fit_predict(d.where("fold < 8").select("doc_id", "text", "gold"), d.where("fold >= 8").select("doc_id", "text", "gold"))
-    return out.select("doc_id", "gold", "predicted")
-
-
 @query("top_collection_order", f"WITH {ORDERS_SQL} SELECT execution_id, youtube_id, row_number() OVER (PARTITION BY execution_id ORDER BY count(*), youtube_id)::INT AS place FROM orders_v GROUP BY execution_id, youtube_id")
 def _(v):
     n = v.orders.groupBy("execution_id", "youtube_id").agg(F.count("*").alias("n"))

@@ -371,7 +371,7 @@ def _(v):
 
 @query("st_bootstrap_f1")
 def _(v):
-    return E.bootstrap_macro_f1(pairs(v), "gold", "predicted", CLASSES, "doc_id")
+    return E.bootstrap_macro_f1(pairs(v), "gold", "predicted", CLASSES)
 
 
 @query("st_bootstrap_cluster")

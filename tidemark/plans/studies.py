@@ -69,14 +69,14 @@ def _(v):
 @query("st_bootstrap_paired")
 def _(v):
     other = F.when(F.col("doc_id") % 3 == 0, "neutral").otherwise(F.col("predicted"))
-    return E.bootstrap_paired(pairs(v).withColumn("other", other), "gold", "predicted", "other", CLASSES, "doc_id")
+    return E.bootstrap_paired(pairs(v).withColumn("other", other), "gold", "predicted", "other", CLASSES)
 
 
 @query("st_bootstrap_strata")
 def _(v):
     n = pairs(v).groupBy("predicted").agg(F.count("*").alias("N")).withColumnRenamed("predicted", "weak")
     sample = pairs(v).where("fold < 5").withColumn("weak", F.col("predicted"))
-    return E.bootstrap_strata(sample, "gold", "predicted", CLASSES, "doc_id", "weak", n)
+    return E.bootstrap_strata(sample, "gold", "predicted", CLASSES, "weak", n)
 
 
 @query("st_weighted_confusion", f"""WITH {PAIRS_SQL}, w AS (SELECT predicted, count(*)::DOUBLE / count(*) FILTER (fold < 5) AS weight FROM pairs GROUP BY ALL)
@@ -112,61 +112,6 @@ def _(v):
     return E.index_percentile(n, "value", "n", 0.95, "event_type")
 
 
-# Model selection ----------------------------------------------------------------------------------------------
-TRIED = "SELECT doc_id, fold, gold, config, CASE WHEN (doc_id + config) % (5 + config % 3) = 0 THEN 'neutral' ELSE predicted END AS predicted FROM pairs, (SELECT unnest(range(12)) AS config)"
-
-
-def tried(v):
-    """Predictions of twelve configurations."""
-    p = pairs(v).withColumn("config", F.explode(F.array(*[F.lit(c["config"]).cast("long") for c in ML.grid()])))
-    return p.withColumn("predicted", F.when((F.col("doc_id") + F.col("config")) % (5 + F.col("config") % 3) == 0, "neutral").otherwise(F.col("predicted")))
-
-
-@query("ml_grid", "SELECT c AS config, CASE WHEN c < 6 THEN 'word' ELSE 'char_wb' END AS analyzer, c // 3 % 2 = 1 AS balanced, [0.1, 1.0, 10.0][c % 3 + 1]::DOUBLE AS C FROM (SELECT unnest(range(12)) AS c)")
-def _(v):
-    return v.spark.createDataFrame([tuple(c.values()) for c in ML.grid()], "config long, analyzer string, balanced boolean, C double")
-
-
-@query("ml_grid_search", f"WITH {PAIRS_SQL}, tried AS ({TRIED}), s AS (SELECT config, round(macro_f1, 9) AS f FROM {f1_sql('(SELECT * FROM tried WHERE fold = 1)', 'config')}) SELECT config, f AS best FROM s ORDER BY f DESC, config LIMIT 1")
-def _(v):
-    return ML.best(ML.fold_scores(tried(v).where("fold = 1"), "gold", "predicted", CLASSES, "config"), "config")
-
-
-@query("ml_group_cv", f"{FOLDED}, s AS (SELECT 'random' AS scheme, * FROM {f1_sql('folded', 'random_fold')} UNION ALL SELECT 'video', * FROM {f1_sql('folded', 'video_fold')}) SELECT scheme, random_fold AS fold, macro_f1 FROM s")
-def _(v):
-    d = v.table("documents").select("doc_id", (F.col("doc_id") % 5).alias("random"), (F.col("n_chars") % 5).alias("video"))
-    long = pairs(v).drop("fold").join(d, "doc_id").select("gold", "predicted", F.expr("stack(2, 'random', random, 'video', video) as (scheme, fold)"))
-    return ML.fold_scores(long, "gold", "predicted", CLASSES, "scheme", "fold")
-
-
-@query("ml_scheme_cv", f"{FOLDED} SELECT video_fold AS fold, (SELECT count(*) FROM folded f WHERE f.video_fold = s.video_fold)::BIGINT AS held_out, (SELECT count(*) FROM folded f WHERE f.video_fold <> s.video_fold)::BIGINT AS trained_on, macro_f1 FROM {f1_sql('folded', 'video_fold')} s")
-def _(v):
-    """Out-of-fold predictions pooled by fold, with what each fold's fit had."""
-    folded = pairs(v).drop("fold").join(v.table("documents").select("doc_id", (F.col("n_chars") % 5).alias("fold")), "doc_id")
-    n = folded.groupBy("fold").agg(F.count("*").alias("held_out"))
-    every = n.agg(F.sum("held_out").alias("_all"))
-    sizes = n.crossJoin(F.broadcast(every)).select("fold", "held_out", (F.col("_all") - F.col("held_out")).alias("trained_on"))
-    return ML.fold_scores(folded, "gold", "predicted", CLASSES, "fold").join(sizes, "fold").select("fold", "held_out", "trained_on", "macro_f1")
-
-
-SEEDS = f"WITH {PAIRS_SQL}, tried AS ({TRIED}), s AS (SELECT config, macro_f1 FROM {f1_sql('tried', 'config')})"
-
-
-@query("ml_seed_summary", f"{SEEDS}, o AS (SELECT config, row_number() OVER (ORDER BY round(macro_f1, 9), config) AS r FROM s) SELECT count(*)::BIGINT AS seeds, avg(macro_f1) AS mean, coalesce(stddev_samp(macro_f1), 0) AS deviation, (SELECT config FROM o WHERE r = 7) AS published FROM s")
-def _(v):
-    return ML.seed_summary(ML.fold_scores(tried(v), "gold", "predicted", CLASSES, "config"), "config")
-
-
-@query("ml_baseline_test", f"WITH {PAIRS_SQL}, long AS (SELECT 'baseline' AS method, gold, predicted FROM pairs WHERE fold = 0 UNION ALL SELECT 'constant', gold, 'positive' FROM pairs WHERE fold = 0) SELECT method, macro_f1, macro_f1 - (SELECT macro_f1 FROM {f1_sql('long', 'method')} WHERE method = 'constant') AS delta FROM {f1_sql('long', 'method')}")
-def _(v):
-    """Methods side by side on the test, with their lead over the constant one."""
-    test = pairs(v).where("fold = 0")
-    long = test.select(F.lit("baseline").alias("method"), "gold", "predicted").union(test.select(F.lit("constant"), "gold", F.lit("positive")))
-    scores = ML.fold_scores(long, "gold", "predicted", CLASSES, "method")
-    least = scores.where("method = 'constant'").select(F.col("macro_f1").alias("_c"))
-    return scores.crossJoin(F.broadcast(least)).select("method", "macro_f1", (F.col("macro_f1") - F.col("_c")).alias("delta"))
-
-
 # Classifiers --------------------------------------------------------------------------------------------------
 def by_words(x: pd.Series) -> pd.DataFrame:
     n = x.fillna("").str.count(r"\S+")
