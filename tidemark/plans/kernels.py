@@ -86,16 +86,6 @@ def _(v):
     return w.select(T.fold(F.lower(F.trim("w"))).alias("key")).distinct()
 
 
-@query("str_twin_normalize")
-def _(v):
-    return v.documents.select("doc_id", T.twin_normalize(F.col("text")).alias("norm"))
-
-
-@query("str_char_ngrams")
-def _(v):
-    return v.documents.select("doc_id", F.size(T.char_ngrams(T.twin_normalize(F.col("text")))).alias("grams"))
-
-
 @query("str_hash", "SELECT doc_id, sha256(source) AS hash FROM documents")
 def _(v):
     return v.table("documents").select("doc_id", F.sha2("source", 256).alias("hash"))
@@ -364,11 +354,6 @@ def _(v):
     return v.table("events").groupBy("user_id").agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("middle"), F.percentile(x, 0.95).alias("p95"))
 
 
-@query("agg_best_similarity_histogram", "SELECT b::INT AS bucket, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(20)) AS b) LEFT JOIN (SELECT least(floor(((doc_id * 37) % 101)::DOUBLE / 100 / 0.05::DOUBLE), 19)::INT AS k, count(*) AS n FROM documents GROUP BY ALL) ON b = k")
-def _(v):
-    return A.histogram(v.table("documents").select(((F.col("doc_id") * 37 % 101).cast("double") / 100).alias("s")), "s", 0.05, 20)
-
-
 @query("st_bootstrap_f1")
 def _(v):
     return E.bootstrap_macro_f1(pairs(v), "gold", "predicted", CLASSES)
@@ -407,29 +392,6 @@ def _(v):
 
 
 # Twins --------------------------------------------------------------------------------------------------------
-def corpus(v):
-    return v.table("documents").select(F.col("doc_id").alias("id"), "text")
-
-
-@query("join_near_duplicate")
-def _(v):
-    d = corpus(v)
-    return neardup.twins(d.where("id % 20 = 0"), d)
-
-
-@query("agg_twin_summary")
-def _(v):
-    d = corpus(v)
-    return neardup.twins(d.where("id % 20 = 0"), d).groupBy("level").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean"))
-
-
-@query("set_leak_filter")
-def _(v):
-    d = corpus(v)
-    test, rest = d.where("id % 20 = 0"), d.where("id % 20 <> 0")
-    return rest.select("id").join(neardup.twins(rest, test).select("id"), "id", "left_anti")
-
-
 @query("set_jaccard", "SELECT a.doc_id, len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents) a JOIN (SELECT doc_id - 1 AS doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents) b USING (doc_id)")
 def _(v):
     w = v.table("documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))

@@ -11,7 +11,6 @@ from .bindings import EXECUTIONS_SQL, ORDERS_SQL, TOPICS_SQL, counts_sql
 from .kernels import CLASSES, PAIRS_SQL, pairs
 from .registrar import ORACLES, query
 from .reports import runs, topics, videos
-from .writes import LEAK_SQL, leaked
 
 ORDER = "md5('42:' || doc_id), doc_id"
 WITHIN = f"WITH {PAIRS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY gold ORDER BY {ORDER}) AS place, count(*) OVER (PARTITION BY gold) AS size FROM pairs)"
@@ -56,15 +55,6 @@ def _(v):
     return ML.round_partition(pairs(v), "gold", "doc_id", F.col("fold") == 0).select("doc_id", "side")
 
 
-@query("ml_round_partition", f"""{WITHIN.replace("FROM pairs)", "FROM pairs WHERE fold <> 0 AND doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN documents t USING (text) JOIN pairs p ON p.doc_id = t.doc_id WHERE fold = 0))")}
-SELECT doc_id, CASE WHEN place <= round_even(size * 0.15::DOUBLE, 0) THEN 'validation' ELSE 'train' END AS side FROM placed UNION ALL SELECT doc_id, 'test' FROM pairs WHERE fold = 0""")
-def _(v):
-    """Rows whose text is in the test are left out of the round."""
-    d = v.table("documents").select("doc_id", "text")
-    test = d.join(pairs(v).where("fold = 0").select("doc_id"), "doc_id", "left_semi").select("text").distinct()
-    return ML.round_partition(pairs(v), "gold", "doc_id", F.col("fold") == 0, d.join(test, "text", "left_semi")).select("doc_id", "side")
-
-
 # Resamples and weights ----------------------------------------------------------------------------------------
 @query("st_bootstrap_paired")
 def _(v):
@@ -166,25 +156,6 @@ def _(v):
 
 
 # Leakage and coverage -----------------------------------------------------------------------------------------
-@query("set_test_without_twin", f"SELECT doc_id FROM documents WHERE doc_id % 20 = 0 AND doc_id NOT IN ({LEAK_SQL})")
-def _(v):
-    return v.table("documents").where("doc_id % 20 = 0").select("doc_id").join(leaked(v), "doc_id", "left_anti")
-
-
-@query("set_groups", f"WITH leak AS ({LEAK_SQL}), t AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM leak) AS twin FROM documents WHERE doc_id % 20 = 0) SELECT 'all' AS kind, doc_id FROM t UNION ALL SELECT 'with', doc_id FROM t WHERE twin UNION ALL SELECT 'without', doc_id FROM t WHERE NOT twin")
-def _(v):
-    every = v.table("documents").where("doc_id % 20 = 0").select("doc_id")
-    tagged = every.join(leaked(v).select("doc_id", F.lit("with").alias("_t")), "doc_id", "left")
-    return tagged.select(F.explode(F.array(F.lit("all"), F.coalesce("_t", F.lit("without")))).alias("kind"), "doc_id")
-
-
-@query("agg_label_repetition", f"WITH {PAIRS_SQL}, t AS (SELECT a.doc_id, a.gold, a.predicted, b.predicted AS twin FROM pairs a JOIN pairs b ON b.doc_id = a.doc_id + 1) SELECT count(*)::BIGINT AS twins, count(*) FILTER (gold = twin)::BIGINT AS gold_repeats, count(*) FILTER (predicted = twin)::BIGINT AS method_repeats FROM t")
-def _(v):
-    twin = pairs(v).select((F.col("doc_id") - 1).alias("doc_id"), F.col("predicted").alias("twin"))
-    t = pairs(v).join(twin, "doc_id")
-    return t.agg(F.count("*").alias("twins"), F.count_if(F.col("gold") == F.col("twin")).alias("gold_repeats"), F.count_if(F.col("predicted") == F.col("twin")).alias("method_repeats"))
-
-
 @query("agg_coverage", r"""
 WITH s AS (SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda x: x IN ('the', 'que'))) AS up, len(list_filter(string_split(lower(text), ' '), lambda x: x IN ('and', 'der'))) AS down FROM documents)
 SELECT CASE WHEN up > down THEN 'positive' WHEN up < down THEN 'negative' ELSE 'neutral' END AS label, count(*)::BIGINT AS n, count(*) FILTER (up + down = 0)::BIGINT AS absent, count(*) FILTER (up = down AND up > 0)::BIGINT AS tied FROM s GROUP BY ALL""")

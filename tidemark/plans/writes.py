@@ -344,22 +344,6 @@ def _(v):
     return through_csv(every[0].union(every[1]).union(every[2])).select(F.col("sheet").cast("int"), F.col("doc_id").cast("long"), F.col("place").cast("int"))
 
 
-LEAK_SQL = "SELECT a.doc_id FROM documents a WHERE doc_id % 20 = 0 AND EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 20 <> 0 AND b.text = a.text)"
-
-
-def leaked(v):
-    d = v.table("documents").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rest = d.where("doc_id % 20 <> 0").select("text").distinct()
-    return d.where("doc_id % 20 = 0").join(rest, "text", "left_semi").select("doc_id")
-
-
-@query("sink_leak_table", f"SELECT '| ' || kind || ' | ' || n || ' |' AS line FROM (SELECT 'exact' AS kind, count(*) AS n FROM ({LEAK_SQL}) UNION ALL SELECT 'all', count(*) FROM documents WHERE doc_id % 20 = 0)")
-def _(v):
-    n = leaked(v).agg(F.count("*").alias("n")).select(F.lit("exact").alias("kind"), "n")
-    every = v.table("documents").where("doc_id % 20 = 0").agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), "n")
-    return through_text(n.union(every).select(markdown(["kind", "n"]).alias("value"))).select(F.col("value").alias("line"))
-
-
 @query("sink_sensitivity_table", f"{PRF_SQL} SELECT '| ' || class || ' | ' || replace(printf('%.3f', f1), '.', ',') || ' |' AS line FROM scores")
 def _(v):
     rows = metric_rows(v).select("class", F.replace(F.format_string("%.3f", "f1"), F.lit("."), F.lit(",")).alias("f1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extras, kernels, lifecycles, models, reports, studies, writes  # noqa: F401  each module registers its queries
+from .plans import extras, kernels, leaks, lifecycles, models, reports, studies, writes  # noqa: F401  each module registers its queries
 from .plans.registrar import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
