@@ -164,3 +164,61 @@ def index_percentile(counts: DataFrame, value: str, n: str, share: float, *keys:
     total = F.sum(n).over(W.partitionBy(*keys))
     at = F.least(F.floor(F.lit(share) * total), total - 1)
     return counts.select(*keys, value, F.sum(n).over(order).alias("_upto"), at.alias("_at")).where(F.col("_upto") > F.col("_at")).groupBy(*keys).agg(F.min(value).alias("at_share"))
+
+
+BINS = 4096
+
+
+def quantiles(rows: DataFrame, value: Column, shares: dict[str, float], *keys: str, bins: int = BINS) -> DataFrame:
+    """keys and exact quantiles (interpolated between the two values around the place share * (n - 1)); rows without value don't count.
+
+    Values are first counted. Then each place is sought by rounds of histograms between the least and the largest value that it
+    can still have: the bin that holds it gives the next bounds, until these are one value. A task holds at most `bins` counts of
+    a place, however many values a group has. Keys are compared null-safe."""
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.select(*named, value.cast("double").alias("_v")).where("_v is not null").groupBy(*ks, "_v").agg(F.count("*").alias("_n"))
+    whole = counts.groupBy(*ks).agg(F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    sides = F.array(*[F.struct(F.lit(s).alias("share"), f((F.col("n") - 1) * F.lit(s)).cast("long").alias("at")) for s in sorted(set(shares.values())) for f in (F.floor, F.ceil)])
+    sought = whole.select("*", F.explode(F.array_distinct(F.transform(sides, lambda x: x["at"]))).alias("at")).select(*ks, "at", "lo", "hi", F.lit(0).cast("long").alias("before"))
+    met = F.lit(True)
+    for k in ks:
+        met = met & F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
+    found = None
+    while True:
+        narrow = (F.col("hi") > F.col("lo")).alias("open")
+        sought = sought.select("*", narrow)
+        done = sought.where("not open").select(*ks, "at", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        left = sought.where("open").drop("open")
+        if not left.take(1):
+            break
+        pairs = counts.alias("c").join(left.alias("s"), met & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*[f"s.{k}" for k in ks], "at", "before", "lo", "hi", "_v", "_n")
+        # halves, so that bounds near the largest doubles don't overflow
+        bin_ = F.least(F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1)).alias("bin")
+        per = pairs.groupBy(*ks, "at", "before", bin_).agg(F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.sum("n").over(W.partitionBy(*ks, "at").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+        hit = per.withColumn("_upto", upto).where((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("n")))
+        sought = cut(hit.select(*ks, "at", "lo", "hi", (F.col("_upto") - F.col("n")).alias("before")))
+    whole = whole.select(*ks, "n")
+    got = found.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # two places a share
+    match = F.lit(True)
+    for k in ks:
+        match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = whole.alias("a").join(got.alias("b"), match).select(*[F.col(f"a.{k}") for k in ks], "n", "m")
+
+    def at(share: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(share)
+        low, high = F.element_at("m", F.floor(place).cast("long")), F.element_at("m", F.ceil(place).cast("long"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return both.select(*[F.col(k).alias(name) for k, name in zip(ks, keys, strict=True)], *[at(s).alias(name) for name, s in shares.items()])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that the session's checkpoints go to."""
+    from ..sources.store import shared_folder
+
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

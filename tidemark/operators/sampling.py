@@ -24,10 +24,28 @@ def cochran(population: int, margin: float = 0.05, z: float = 1.96, p: float = 0
     return math.ceil(n0 / (1 + (n0 - 1) / population))
 
 
+def numbered(rows: DataFrame, strata: list[str], bucket: Column, order: list[Column]) -> DataFrame:
+    """rows with place (from 1) within their stratum by bucket, then order, and the stratum's size.
+
+    Rows are dealt and sorted by stratum and bucket, and a bucket starts where the counts of those before it end. So a huge stratum is
+    numbered by as many tasks as it has buckets; only a row a bucket is summed up in one task. The bucket must rise with the order."""
+    keyed = rows.withColumn("_bucket", bucket)
+    counts = keyed.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
+    own = W.partitionBy(*strata)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_n").over(own).alias("_size"))
+    met = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, s in enumerate(strata):
+        met = met & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    placed = keyed.withColumn("_place", F.row_number().over(W.partitionBy(*strata, "_bucket").orderBy(*order))).join(starts, met)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_place")).alias("place"), F.col("_size").alias("size"))
+
+
 def within(rows: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
-    """rows with place (from 1) within their stratum in seeded order, and the stratum's size."""
-    w = W.partitionBy(stratum)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(order_hash(key, seed), key))).withColumn("size", F.count("*").over(w))
+    """rows with place (from 1) within their stratum in seeded order, and the stratum's size. The first four digits of the order's hash deal
+    a stratum to 65,536 buckets."""
+    order = order_hash(key, seed)
+    return numbered(rows, [stratum], F.substring(order, 1, 4), [order, F.col(key)])
 
 
 def round_robin(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:

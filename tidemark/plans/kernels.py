@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import aggregates as A, evaluation as E, lifecycle as L, neardup, sampling as S, topics as TP
+from ..operators import aggregates as A, evaluation as E, lifecycle as L, sampling as S, topics as TP
 from ..sources import files
 from ..sources.store import through_csv
 from .bindings import TEXTS_SQL
@@ -333,8 +333,7 @@ def _(v):
 
 @query("st_percentile", "SELECT lang, quantile_cont(n_chars::DOUBLE, 0.95) AS p95, quantile_cont(n_chars::DOUBLE, 0.5) AS p50 FROM documents GROUP BY lang")
 def _(v):
-    n = F.col("n_chars").cast("double")
-    return v.table("documents").groupBy("lang").agg(F.percentile(n, 0.95).alias("p95"), F.percentile(n, 0.5).alias("p50"))
+    return E.quantiles(v.table("documents"), F.col("n_chars").cast("double"), {"p95": 0.95, "p50": 0.5}, "lang")
 
 
 @query("agg_token_lengths", "SELECT lang, count(*)::BIGINT AS n, max(CASE WHEN i = least(n - 1, 50 * n // 100) THEN n_chars END) AS p50, max(CASE WHEN i = least(n - 1, 95 * n // 100) THEN n_chars END) AS p95 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) GROUP BY lang")
@@ -345,13 +344,15 @@ def _(v):
 @query("agg_seed_stats", "SELECT event_type, avg(value) AS mean, stddev_samp(value) AS deviation, min(value) AS low, median(value) AS middle, max(value) AS high FROM events GROUP BY ALL")
 def _(v):
     x = F.col("value")
-    return v.table("events").groupBy("event_type").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"), F.min(x).alias("low"), F.percentile(x, 0.5).alias("middle"), F.max(x).alias("high"))
+    return v.table("events").groupBy("event_type").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"), F.min(x).alias("low"), F.max(x).alias("high")).join(
+        E.quantiles(v.table("events"), x, {"middle": 0.5}, "event_type"), "event_type"
+    )
 
 
 @query("agg_latency", "SELECT user_id, avg(value) AS mean, median(value) AS middle, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def _(v):
     x = F.col("value")
-    return v.table("events").groupBy("user_id").agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("middle"), F.percentile(x, 0.95).alias("p95"))
+    return v.table("events").groupBy("user_id").agg(F.avg(x).alias("mean")).join(E.quantiles(v.table("events"), x, {"middle": 0.5, "p95": 0.95}, "user_id"), "user_id")
 
 
 @query("st_bootstrap_f1")
@@ -537,8 +538,8 @@ def _(v):
 
 @query("json_prompt_batches", "SELECT lang, floor((r - 1) / 25)::BIGINT AS batch, count(*)::BIGINT AS n FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) GROUP BY ALL")
 def _(v):
-    r = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    return v.table("documents").select("lang", "doc_id", F.floor((r - 1) / 25).alias("batch")).groupBy("lang", "batch").agg(F.count("*").alias("n"))
+    placed = S.numbered(v.table("documents").select("lang", "doc_id"), ["lang"], F.shiftright("doc_id", 16), [F.col("doc_id")])
+    return placed.select("lang", F.floor((F.col("place") - 1) / 25).alias("batch")).groupBy("lang", "batch").agg(F.count("*").alias("n"))
 
 
 @query("src_label_csv", "SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l = 'x' THEN 'unknown label' WHEN l = '' THEN 'empty' END AS reason FROM (SELECT CASE doc_id % 10 WHEN 0 THEN 'x' WHEN 1 THEN '' ELSE 'positivo' END AS l FROM documents)) WHERE reason IS NOT NULL GROUP BY ALL")

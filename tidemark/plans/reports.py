@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import aggregates as A, facts as X, windows as N
+from ..operators import aggregates as A, facts as X, sampling as S, windows as N
 from .bindings import COMMENTS_SQL, EXECUTIONS_SQL, ORDERS_SQL, SENTIMENTS, TEXTS_SQL, TOPICS_SQL, counts_sql
 from .registrar import query
 
@@ -153,8 +153,8 @@ def _(v):
 @query("scan_pending_inference", "SELECT doc_id AS comment_id, floor((row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1) / 500)::BIGINT AS batch FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(v):
     left = v.texts.join(v.table("labels").withColumnRenamed("doc_id", "comment_id"), "comment_id", "left_anti")
-    place = F.row_number().over(W.partitionBy(F.col("comment_id") % 16).orderBy("comment_id"))
-    return left.select("comment_id", F.floor((place - 1) / 500).alias("batch"))
+    placed = S.numbered(left.select("comment_id", (F.col("comment_id") % 16).alias("lane")), ["lane"], F.shiftright("comment_id", 16), [F.col("comment_id")])
+    return placed.select("comment_id", F.floor((F.col("place") - 1) / 500).alias("batch"))
 
 
 @query("join_anti_unanalyzed", "SELECT doc_id AS comment_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
