@@ -4,22 +4,44 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.matching import sliding_limit
+from tidemark.operators.matching import limit_verdicts
 from tidemark.streaming import stateful
 
 
-def test_rate_limit_stream_equals_the_batch_fold(spark, tmp_path):
+def limited(rows, most, seconds):
+    out, kept = {}, {}
+    for k, t, i in sorted(rows):
+        mine = [x for x in kept.get(k, []) if x > t - seconds]
+        out[i] = len(mine) < most
+        kept[k] = [*mine, t] if out[i] else mine
+    return out
+
+
+def test_rate_limit_across_batches_and_a_restart(spark, tmp_path):
+    """Three micro-batches, the last one after a restart from the checkpoint: the verdicts are those of one pass over all events."""
     rng = random.Random(2)
-    rows = [(k, float(t), i) for i, (k, t) in enumerate(sorted((rng.choice("ab"), rng.randrange(500)) for _ in range(80)))]
-    df = spark.createDataFrame(rows, "key string, at double, job_id long")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    out = stateful.rate_limited(stream, "key", "at", 3, 60)
-    q = out.writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.key: r.n for r in spark.table("limits").where("not allowed").groupBy("key").agg(F.count("*").alias("n")).collect()}
-    want = {r.key: r.refused for r in sliding_limit(df, "key", "at", 3, 60).collect()}
-    assert got == want and sum(got.values()) > 5
+    rows = sorted((rng.choice("ab"), float(rng.randrange(500)), i) for i in range(90))
+    late = sorted(r[1] for r in rows)
+    parts = [[r for r in rows if late[30 * k] <= r[1] < (late[30 * k + 30] if k < 2 else 1e9)] for k in range(3)]
+    stateful.set_store(spark)
+    schema = "key string, at double, job_id long"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        out = stateful.rate_limited(stream, "key", "at", "job_id", 3, 60)
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for k in (0, 1):
+        spark.createDataFrame(parts[k], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    run()
+    spark.createDataFrame(parts[2], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    run()
+    got = {r.event: r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = limited(rows, 3, 60)
+    assert got == want and 5 < sum(not x for x in want.values()) < 85
+    batch = {r.event: r.allowed for r in limit_verdicts(spark.createDataFrame(rows, schema), "key", "at", "job_id", 3, 60).collect()}
+    assert batch == want
 
 
 def test_windowed_counts(spark, tmp_path):
@@ -31,10 +53,29 @@ def test_windowed_counts(spark, tmp_path):
     assert sorted((r.kind, r.n) for r in spark.table("counts").collect()) == [("x", 2), ("y", 1)]
 
 
-def test_transitions_keep_the_latest(spark, tmp_path):
+def test_a_repeated_epoch_changes_nothing(spark, tmp_path):
     rows = [(1, "pendente", 1, 1), (1, "processando", 2, 2), (2, "pendente", 1, 3)]
-    stateful.apply_transitions(f"{tmp_path}/jobs")(spark.createDataFrame(rows, "job_id long, status string, at long, event_id long"), 0)
-    assert {r.job_id: r.status for r in spark.read.parquet(f"{tmp_path}/jobs").collect()} == {1: "processando", 2: "pendente"}
+    more = [(2, "concluido", 9, 5), (1, "pendente", 1, 4)]  # the last is older than what is known of job 1
+    frame = lambda x: spark.createDataFrame(x, "job_id long, status string, at long, event_id long")
+    write = stateful.apply_transitions(f"{tmp_path}/jobs")
+    write(frame(rows), 0)
+    write(frame(more), 1)
+    state = lambda: sorted(map(tuple, stateful.current(spark, f"{tmp_path}/jobs").collect()))
+    want = [(1, "processando", 2), (2, "concluido", 9)]
+    assert state() == want
+    write(frame(more), 1)
+    write(frame(rows[::-1]), 0)
+    assert state() == want and spark.read.parquet(f"{tmp_path}/jobs").count() == 4
+
+
+def test_each_job_is_claimed_once(spark, tmp_path):
+    batches = [[(1, "a", 5.0), (2, "a", 4.0), (3, "b", 1.0)], [(4, "b", 0.5), (5, "b", 9.0)], []]
+    write = stateful.claims(f"{tmp_path}/queue", "kind")
+    frame = lambda x: spark.createDataFrame(x, "job_id long, kind string, at double")
+    for k in (0, 1, 1, 2, 1, 2):  # epochs 1 and 2 come again
+        write(frame(batches[k]), k)
+    got = sorted((r.epoch, r.kind, r.job_id) for r in spark.read.parquet(f"{tmp_path}/queue/claimed").collect())
+    assert got == [(0, "a", 2), (0, "b", 3), (1, "a", 1), (1, "b", 4), (2, "b", 5)]
 
 
 def test_overwrite_replaces_only_its_runs(spark, tmp_path):

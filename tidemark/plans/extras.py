@@ -42,7 +42,14 @@ def _(v):
     return M.greedy_one_to_one(M.topic_pairs(before, after))
 
 
-@query("win_sliding_rate_limit")
+@query("win_sliding_rate_limit", """
+WITH e AS (SELECT user_id, list({'t': epoch(ts::TIMESTAMP)::DOUBLE, 'kept': []::DOUBLE[], 'refused': 0::BIGINT} ORDER BY ts, event_id) AS x FROM events GROUP BY user_id)
+SELECT user_id AS tenant_id, len(x)::BIGINT AS events, list_reduce(list_prepend({'t': 0::DOUBLE, 'kept': []::DOUBLE[], 'refused': 0::BIGINT}, x), lambda a, b:
+  CASE WHEN len(list_filter(a.kept, lambda k: k > b.t - 86400)) < 3
+    THEN {'t': b.t, 'kept': list_append(list_filter(a.kept, lambda k: k > b.t - 86400), b.t), 'refused': a.refused}
+    ELSE {'t': b.t, 'kept': list_filter(a.kept, lambda k: k > b.t - 86400), 'refused': a.refused + 1} END).refused AS refused
+FROM e
+""")
 def _(v):
     return M.sliding_limit(v.jobs, "tenant_id", "at", 3, 86400)
 
