@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates as A, evaluation as E, lifecycle as L, sampling as S, topics as TP
-from ..sources import files
-from ..sources.store import through_csv
+from ..sources import files, paged
+from ..sources.store import shared_folder, through_csv
 from .bindings import TEXTS_SQL
 from .registrar import query
 
@@ -511,11 +511,19 @@ def _(v):
     return v.table("lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("src_comments_api")
+@query("src_comments_api", """
+WITH c AS (SELECT source AS video, doc_id::VARCHAR AS id, (DATE '2024-01-01' + (doc_id % 50)::INTEGER)::VARCHAR AS day, text FROM documents WHERE source IS NOT NULL),
+r AS (SELECT video, id, day, CASE WHEN day < '2024-01-10' THEN 'date' WHEN NOT contains(lower(coalesce(text, '')), 'on') THEN 'term' END AS reason FROM c),
+k AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(sum((reason IS NULL)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WINDOW w AS (PARTITION BY video ORDER BY day DESC, id)),
+stop AS (SELECT video, min(k // 100) FILTER (reason = 'date') AS page FROM k GROUP BY video)
+SELECT video, reason, count(*)::BIGINT AS n FROM k JOIN stop USING (video) WHERE before < 20 AND k // 100 <= coalesce(page, k // 100) GROUP BY video, reason""")
 def _(v):
-    c = v.texts.withColumn("published_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(comment_id % 50 as int))"))
-    reasons = [("date", F.col("published_at") < F.lit("2024-01-10").cast("timestamp")), ("term", ~F.col("text").contains("on")), ("language", F.col("lang") == "de")]
-    return L.accepted(c, "video", 20, reasons).groupBy("video", "reason").agg(F.count("*").alias("n"))
+    """What a collection of every video accepts and leaves out, read page by page from landed pages."""
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("comment_id") % 50).cast("int")).cast("string")
+    path = shared_folder(v.spark)
+    paged.land(v.texts.select("video", "comment_id", at.alias("published_at"), "text"), path)
+    read = paged.comments(v.spark, path, limit=20, after="2024-01-10", term="on")
+    return read.groupBy("video", "reason").agg(F.count("*").alias("n"))
 
 
 # JSON, files --------------------------------------------------------------------------------------------------
