@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import aggregates as A, facts as X, sampling as S, windows as N
 from .bindings import COMMENTS_SQL, EXECUTIONS_SQL, ORDERS_SQL, SENTIMENTS, TEXTS_SQL, TOPICS_SQL, counts_sql
-from .registrar import query
+from .registrar import ORACLES, query
 
 WC, WT, WO = "WITH " + COMMENTS_SQL, "WITH " + TOPICS_SQL, "WITH " + ORDERS_SQL
 RELAXED = X.Thresholds(video_multiple=1.1, z=0.5)
@@ -409,6 +409,27 @@ def _(v):
     return X.topic_extreme(topics(v), runs(v), "negative", DEFAULT).select("execution_id", F.col("topic").alias("attention"), "percent", "sample")
 
 
+SENTENCES = ("str_s_most_criticized", "str_s_best_received", "str_s_negative_video", "str_s_concentration", "str_s_shift", "str_s_video_evolution")
+
+
+@query("str_fact_sentence", " UNION ALL ".join(f"SELECT '{name.removeprefix('str_s_')}' AS kind, execution_id, sentence FROM ({ORACLES[name]})" for name in SENTENCES))
+def _(v):
+    """The sentence of every fact of every kind."""
+    each = [
+        X.topic_extreme(topics(v), runs(v), "negative", DEFAULT).select("execution_id", X.sentence_topic("negative").alias("sentence")),
+        X.topic_extreme(topics(v), runs(v), "positive", DEFAULT).select("execution_id", X.sentence_topic("positive").alias("sentence")),
+        X.very_negative_videos(videos(v), runs(v), RELAXED).select("execution_id", X.sentence_video().alias("sentence")),
+        X.concentrated(topics(v), DEFAULT).select("execution_id", X.sentence_concentration().alias("sentence")),
+        X.sentiment_shift(runs(v), RELAXED).select("execution_id", X.sentence_shift().alias("sentence")),
+        X.video_evolution(videos(v), runs(v), RELAXED).select("execution_id", X.sentence_evolution().alias("sentence")),
+    ]
+    out = None
+    for name, df in zip(SENTENCES, each, strict=True):
+        named = df.select(F.lit(name.removeprefix("str_s_")).alias("kind"), "execution_id", "sentence")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query("st_two_proportions", f"{PAIRS}, s AS (SELECT *, negative::DOUBLE / total AS a, before_negative::DOUBLE / before_total AS b FROM pairs WHERE before_total IS NOT NULL) SELECT model_id, execution_id, round(1.96::DOUBLE * sqrt(a * (1 - a) / total + b * (1 - b) / before_total), 9) AS margin, abs(a - b) > 1.96::DOUBLE * sqrt(a * (1 - a) / total + b * (1 - b) / before_total) AS significant FROM s")
 def _(v):
     p = N.consecutive(runs(v), ["negative", "total"])

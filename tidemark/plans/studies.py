@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E, matching as M, sampling as S, selection as ML
 from .bindings import EXECUTIONS_SQL, ORDERS_SQL, TOPICS_SQL, counts_sql
-from .kernels import CLASSES, PAIRS_SQL, pairs
+from .kernels import CLASSES, LEX, LEX_SQL, PAIRS_SQL, WORDS_SQL, pairs
 from .registrar import ORACLES, query
 from .reports import runs, topics, videos
 
@@ -103,15 +104,18 @@ def _(v):
 
 
 # Classifiers --------------------------------------------------------------------------------------------------
-def by_words(x: pd.Series) -> pd.DataFrame:
-    n = x.fillna("").str.count(r"\S+")
-    return pd.DataFrame({"label": ["positive" if k % 3 == 0 else "negative" for k in n], "justification": n.astype(str) + " words"})
+WORDS = regex.compile(T.WORD)
 
 
-COUNTED = r"len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{Z}]+'))"
+def by_words(x: pd.Series) -> pd.DataFrame:
+    """A classifier of batches: the sign of the sum of known words' polarities, with the sum as its reason."""
+    sums = [sum(LEX.get(w, 0) for w in WORDS.findall(t.lower())) for t in x.fillna("")]
+    return pd.DataFrame({"label": ["positive" if k > 0 else "negative" if k < 0 else "neutral" for k in sums], "justification": [f"soma {k:+d}" for k in sums]})
 
 
-@query("udf_classifier_api", f"SELECT doc_id, CASE WHEN n % 3 = 0 THEN 'positive' ELSE 'negative' END AS label, n || ' words' AS justification, 'words' AS classifier FROM (SELECT doc_id, {COUNTED} AS n FROM documents)")
+@query("udf_classifier_api", f"""
+SELECT doc_id, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END AS label, 'soma ' || CASE WHEN s < 0 THEN '' ELSE '+' END || s AS justification, 'words' AS classifier
+FROM (SELECT doc_id, ({LEX_SQL})::INT AS s FROM (SELECT doc_id, {WORDS_SQL.format("lower(coalesce(text, ''))")} AS w FROM documents))""")
 def _(v):
     chosen = [None, ML.Classifier("words", 1, by_words)]
     return ML.classify(v.table("documents").select("doc_id", "text"), "text", chosen, 1).select("doc_id", "label", "justification", "classifier")
@@ -126,20 +130,25 @@ def _(v):
     return both.groupBy("classifier").agg(F.count("*").alias("n"))
 
 
-SOFT = "SELECT vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS z FROM embeddings"
+SOFT = "SELECT vec_id, [list_sum(list_filter(e, lambda x, i: i % 3 = 1)), list_sum(list_filter(e, lambda x, i: i % 3 = 2)), list_sum(list_filter(e, lambda x, i: i % 3 = 0))] AS z FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def logits():
+    """Three logits of an embedding: a linear head whose weights are one for every third component, all of which it reads."""
+    e = F.col("embedding").cast("array<double>")
+    one = lambda c: F.aggregate(F.filter(e, lambda x, i: i % 3 == c), F.lit(0.0), lambda a, x: a + x)
+    return F.array(one(0), one(1), one(2))
 
 
 @query("udf_transformer", f"SELECT vec_id, ['negative', 'neutral', 'positive'][list_position(z, list_max(z))] AS label, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 9) AS confidence FROM ({SOFT})")
 def _(v):
     """The last step of a transformer over given logits; weights are pluggable."""
-    z = F.slice("embedding", 1, 3).cast("array<double>")
-    return v.table("embeddings").select("vec_id", ML.argmax_softmax(z, CLASSES).alias("p")).select("vec_id", "p.label", F.round("p.confidence", 9).alias("confidence"))
+    return v.table("embeddings").select("vec_id", ML.argmax_softmax(logits(), CLASSES).alias("p")).select("vec_id", "p.label", F.round("p.confidence", 9).alias("confidence"))
 
 
 @query("ml_batch_predict", f"SELECT ['negative', 'neutral', 'positive'][list_position(z, list_max(z))] AS label, count(*)::BIGINT AS n FROM ({SOFT}) GROUP BY ALL")
 def _(v):
-    z = F.slice("embedding", 1, 3).cast("array<double>")
-    return v.table("embeddings").select(ML.argmax_softmax(z, CLASSES).alias("p")).groupBy(F.col("p.label").alias("label")).agg(F.count("*").alias("n"))
+    return v.table("embeddings").select(ML.argmax_softmax(logits(), CLASSES).alias("p")).groupBy(F.col("p.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("ml_llm_stable_name", r"SELECT name, NOT regexp_matches(lower(name), 'preview|exp(?:erimental)?\b|latest') AS stable FROM (SELECT lower(p_name) || CASE p_partkey % 4 WHEN 0 THEN '-preview' WHEN 1 THEN '-exp' WHEN 2 THEN '-2.0' ELSE '-Latest' END AS name FROM part)")

@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the driver and all executors share; of this machine only where the session runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/tables-{uuid.uuid4().hex}"
