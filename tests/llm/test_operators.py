@@ -356,3 +356,23 @@ def test_empty_tables(spark, labels):
     for out in (quality_rules.assess(d, labels), license_scan.scan(d), substring.digests(d), suffix_dedup.digests(d), simhash.near_duplicates(d), toxicity.assess(d, none), qda.assess(d, none), bpe.digests(d, path), packing.pack(d, path)):
         assert out.collect() == []
     assert vptree.nearest(vectors(spark)[1].limit(0), F.lit(True)).collect() == []
+
+
+def test_suffix_automaton_finds_all_tokens():
+    """Tokens that end at each place, longest first, against trying all substrings."""
+    rng = random.Random(12)
+    for _ in range(60):
+        tokens = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))): i for i in range(rng.randint(1, 25))}
+        auto = bpe.SuffixAutomaton(tokens)
+        text = "".join(rng.choice("abcd") for _ in range(60))
+        state = size = 0
+        for e, c in enumerate(text, 1):
+            while c not in auto.next[state] and state:
+                state = auto.link[state]
+                size = auto.length[state]
+            state, size = (auto.next[state][c], size + 1) if c in auto.next[state] else (0, 0)
+            x, got = state if auto.token[state] >= 0 and auto.length[state] <= size else auto.shorter[state], []
+            while x:
+                got.append(auto.token[x])
+                x = auto.shorter[x]
+            assert got == [tokens[text[k:e]] for k in range(e) if text[k:e] in tokens]

@@ -1,7 +1,8 @@
 """Exact BPE encoding by dynamic programming over prefixes.
 
-The encoding of every prefix of a word has one last token. For each prefix the automaton over the vocabulary
-yields the tokens that end there, longest first; the one that starts at a prefix whose own last token
+The encoding of every prefix of a word has one last token. For each prefix the suffix automaton of the vocabulary
+yields the tokens that end there, longest first: it holds the longest part of any token that ends at this place, and its suffix links
+lead to the shorter ones. The token that starts at a prefix whose own last token
 it is compatible with is the last token of this prefix, and following the starts back gives the encoding. Two tokens
 are compatible if BPE, run over their joined text, gives the two again: undoing merges from the later one
 on, no merge across the border may come earlier than the merges that formed the sides.
@@ -20,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -53,6 +53,58 @@ class _Cache(dict):
         return value
 
 
+class SuffixAutomaton:
+    """All substrings of the tokens. A token is always the longest string of its state, as nothing stands before it where it was added."""
+
+    def __init__(self, tokens: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        ends = [(self._add(t), t) for t in tokens]
+        self.token = [-1] * len(self.next)
+        for _, t in ends:
+            at = 0
+            for c in t:
+                at = self.next[at][c]
+            self.token[at] = tokens[t]
+        #: the next state on the suffix links that is a token, 0 for none
+        self.shorter = [0] * len(self.next)
+        for x in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            y = self.link[x]
+            self.shorter[x] = y if self.token[y] >= 0 else self.shorter[y]
+
+    def _add(self, token: str) -> int:
+        nxt, link, length, last = self.next, self.link, self.length, 0
+        for c in token:
+            known = nxt[last].get(c)
+            if known is not None and length[known] == length[last] + 1:
+                last = known
+                continue
+            now, p = self._state({}, length[last] + 1), last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = now
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                link[now] = q if length[q] == length[p] + 1 else self._split(p, c, q)
+            last = now
+        return last
+
+    def _state(self, moves: dict[str, int], size: int) -> int:
+        self.next.append(moves)
+        self.link.append(0)
+        self.length.append(size)
+        return len(self.next) - 1
+
+    def _split(self, p: int, c: str, q: int) -> int:
+        """A state for the shorter strings of q."""
+        new = self._state(dict(self.next[q]), self.length[p] + 1)
+        self.link[new], self.link[q] = self.link[q], new
+        while p >= 0 and self.next[p].get(c) == q:
+            self.next[p][c] = new
+            p = self.link[p]
+        return new
+
+
 class PrefixEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -71,10 +123,7 @@ class PrefixEncoder:
         for t, i in vocab.items():
             if (i in self.halves and self._is_sound(i)) or len(t) == 1 or (len(t) == 5 and t.endswith(END)):
                 symbols[self._symbols(t)] = i
-        self.automaton = ahocorasick.Automaton()
-        for s, i in symbols.items():
-            self.automaton.add_word(s, (i, len(s)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton(symbols)
         self.bytes = {b: s for b, s in enumerate(byte_symbols())}
         self.fits: dict[int, bool] = {}  # by left << 16 | right
         self.words = _Cache(self._encode_word, WORDS)
@@ -137,11 +186,19 @@ class PrefixEncoder:
     def _encode_symbols(self, s: str) -> list[int]:
         last: list[int] = [-1] * (len(s) + 1)
         start = [0] * (len(s) + 1)
-        fits = self.fits
-        for end, (t, n) in self.automaton.iter(s):
-            e = end + 1
-            if last[e] < 0:
-                p = e - n
+        fits, auto = self.fits, self.automaton
+        moves, link, length, token, shorter = auto.next, auto.link, auto.length, auto.token, auto.shorter
+        state = size = e = 0  # the longest part of a token that ends here
+        for c in s:
+            e += 1
+            while (to := moves[state].get(c)) is None and state:
+                state = link[state]
+                size = length[state]
+            state, size = (to, size + 1) if to is not None else (0, 0)
+            x = state if token[state] >= 0 and length[state] <= size else shorter[state]
+            while x:
+                t, p = token[x], e - length[x]
+                x = shorter[x]
                 if p:
                     if (before := last[p]) < 0:
                         continue
@@ -150,6 +207,7 @@ class PrefixEncoder:
                     if not fit:
                         continue
                 last[e], start[e] = t, p
+                break
         out, e = [], len(s)
         while e:
             out.append(last[e])
