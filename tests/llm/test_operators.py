@@ -376,3 +376,11 @@ def test_suffix_automaton_finds_all_tokens():
                 got.append(auto.token[x])
                 x = auto.shorter[x]
             assert got == [tokens[text[k:e]] for k in range(e) if text[k:e] in tokens]
+
+
+def test_both_encoders_agree():
+    rng = random.Random(13)
+    a, b = (kind(registry.tokenizer_path()) for kind in (bpe.PrefixEncoder, bpe.QuickEncoder))
+    for _ in range(3000):
+        t = "".join(rng.choice("abcdefghiklmnorstué'ß漢 0.") for _ in range(rng.randint(0, 40)))
+        assert a.encode(t) == b.encode(t) == a.library.encode(t, add_special_tokens=False).ids
