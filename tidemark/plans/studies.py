@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E, matching as M, sampling as S, selection as ML
-from .bindings import EXECUTIONS_SQL, ORDERS_SQL, TOPICS_SQL, counts_sql
+from .bindings import EXECUTIONS_SQL, TOPICS_SQL, counts_sql
 from .kernels import CLASSES, LEX, LEX_SQL, PAIRS_SQL, WORDS_SQL, pairs
 from .registrar import ORACLES, query
-from .reports import runs, topics, videos
+from .reports import runs, topics
 
 ORDER = "md5('42:' || doc_id), doc_id"
 WITHIN = f"WITH {PAIRS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY gold ORDER BY {ORDER}) AS place, count(*) OVER (PARTITION BY gold) AS size FROM pairs)"
