@@ -61,7 +61,14 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        d = self.documents
+        return self.texts_of(self.documents)
+
+    @cached_property
+    def dealt_texts(self) -> DataFrame:
+        """Texts dealt by comment, for what is counted within comments."""
+        return self.texts_of(self.table("documents").repartition("doc_id"))
+
+    def texts_of(self, d: DataFrame) -> DataFrame:
         kind = F.col("doc_id") % 7
         return d.select(
             F.col("doc_id").alias("comment_id"), (F.col("doc_id") % 3).alias("execution_id"), F.col("source").alias("video"), "lang", "text",

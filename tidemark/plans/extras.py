@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import lifecycle as L, matching as M, sampling as S, selection as ML, topics as TP
+from ..operators import lifecycle as L, matching as M, sampling as S, selection as ML
 from ..sources.store import Table
 from .bindings import ORDERS_SQL, TOPICS_SQL
-from .kernels import PAIRS_SQL, pairs, tokens
+from .kernels import PAIRS_SQL, found_topics, pairs
 from .registrar import query
 
 
@@ -37,7 +37,7 @@ def _(v):
 @query("join_topic_match")
 def _(v):
     """Topics of each run and the next; keywords come from whole texts."""
-    t = TP.topics(TP.tfidf(tokens(v), v.texts), v.texts).select("execution_id", "topic", "keywords").distinct()
+    t = found_topics(v).select("execution_id", "topic", "keywords").distinct()
     before, after = (t.select((F.col("execution_id") - k).alias("pair"), "topic", "keywords") for k in (0, 1))
     return M.greedy_one_to_one(M.topic_pairs(before, after))
 

@@ -52,9 +52,9 @@ STOP = ["and", "the", "der", "die", "les", "que", "para", "las"]
 TOKENS_SQL = f"{TX}, tokens AS (SELECT execution_id, comment_id, video, unnest(list_filter(list_transform(list_filter({WORDS_SQL.format('lower(text)')}, lambda w: length(w) >= 3 AND NOT regexp_matches(w, '(?i)^(?:k{{2,}}|(?:ha){{2,}}|(?:rs){{2,}}|h[aeiu]{{2,}}|s{{2,}})$')), lambda w: strip_accents(w)), lambda w: NOT list_contains({STOP}, w))) AS token FROM texts)"
 
 
-def tokens(v):
+def tokens(v, texts=None):
     """A row a token. Words are exploded first, so that what follows is compiled code over plain strings."""
-    words = v.texts.select("execution_id", "comment_id", "video", F.explode(T.words(F.lower("text"))).alias("word"))
+    words = (v.texts if texts is None else texts).select("execution_id", "comment_id", "video", F.explode(T.words(F.lower("text"))).alias("word"))
     return T.only_tokens(words, "word", STOP)
 
 
@@ -201,23 +201,27 @@ def _(v):
 
 @query("udaf_topic_tfidf", f"{TOKENS_SQL}, tf AS (SELECT execution_id, comment_id, token, count(*) AS tf FROM tokens GROUP BY ALL), df AS (SELECT execution_id, token, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT execution_id, count(*) AS n FROM texts GROUP BY ALL), raw AS (SELECT tf.execution_id, comment_id, tf.token, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (execution_id, token) JOIN n USING (execution_id) WHERE df >= 3 AND df <= 0.4 * n) SELECT execution_id, comment_id, count(*)::BIGINT AS tokens, round(max(w) / sqrt(sum(w * w)), 6) AS strongest FROM raw GROUP BY ALL")
 def _(v):
-    w = TP.tfidf(tokens(v), v.texts)
-    return w.groupBy("execution_id", "comment_id").agg(F.count("*").alias("tokens"), F.round(F.max("weight"), 6).alias("strongest"))
+    rows, _ = TP.vectors(tokens(v, v.dealt_texts), v.texts)
+    return rows.select("execution_id", "comment_id", F.size("at").cast("long").alias("tokens"), F.round(F.array_max("cells"), 6).alias("strongest"))
+
+
+def found_topics(v):
+    return TP.topics_of_vectors(*TP.vectors(tokens(v, v.dealt_texts), v.texts), v.texts)
 
 
 @query("udaf_topics")
 def _(v):
-    return TP.topics(TP.tfidf(tokens(v), v.texts), v.texts)
+    return found_topics(v)
 
 
 @query("top_keywords")
 def _(v):
-    return TP.topics(TP.tfidf(tokens(v), v.texts), v.texts).select("execution_id", "topic", "keywords").distinct()
+    return found_topics(v).select("execution_id", "topic", "keywords").distinct()
 
 
 @query("top_label_words")
 def _(v):
-    t = TP.topics(TP.tfidf(tokens(v), v.texts), v.texts).select("execution_id", "topic", "keywords").distinct()
+    t = found_topics(v).select("execution_id", "topic", "keywords").distinct()
     clean = F.filter("keywords", lambda w: ~w.isin("onon", "thth"))
     return t.select("execution_id", "topic", F.array_join(F.slice(F.when(F.size(clean) >= 3, clean).otherwise(F.col("keywords")), 1, 3), " / ").alias("label"))
 
