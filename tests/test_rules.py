@@ -113,3 +113,14 @@ def test_first_filter_takes_the_blame(spark):
     df = spark.createDataFrame([(1, "v", 5, "ab"), (2, "v", 4, "xb"), (3, "v", None, "a"), (4, "v", 3, "a"), (5, "v", 2, "a")], "comment_id long, video string, published_at int, text string")
     got = L.accepted(df, "video", 2, [("date", F.col("published_at").isNull()), ("term", ~F.col("text").contains("a"))])
     assert {r.comment_id: r.reason for r in got.collect()} == {1: None, 2: "term", 4: None}
+
+
+def test_admitted_counts_what_is_large_enough(spark):
+    def frame(rows, name):
+        return spark.createDataFrame(rows, f"execution_id long, {name} string, total long")
+
+    runs = spark.createDataFrame([(1, 100), (2, 99)], "execution_id long, total long")
+    topics = frame([(1, "a", 30), (1, "b", 29), (1, "c", 31)], "topic")
+    got = X.admitted(runs, topics, frame([(1, "v", 30), (2, "w", 3)], "youtube_id"), X.Thresholds())
+    rows = {r.execution_id: (r.run_enough, r.compared_enough, r.topics_enough, r.videos_enough) for r in got.collect()}
+    assert rows == {1: (True, True, 2, 1), 2: (False, False, 0, 0)}

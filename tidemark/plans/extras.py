@@ -181,14 +181,33 @@ def _(v):
     return old.groupBy((F.col("model_id") % 2).alias("tenant_id"), "youtube_id").agg(F.min("published_at").alias("oldest"))
 
 
-@query("prj_metrics_extraction", "SELECT event_id AS job_id, coalesce(props->>'$.evaluation.n', props->>'$.n') AS n FROM events")
+@query("prj_metrics_extraction", """
+SELECT event_id AS job_id, coalesce(p->>'$.evaluation.k', p->>'$.k')::INT AS k
+FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"evaluation": ' || props || '}' ELSE props END AS p FROM events)
+""")
 def _(v):
-    return v.jobs.select("job_id", F.coalesce(F.get_json_object("props", "$.evaluation.n"), F.get_json_object("props", "$.n")).alias("n"))
+    """A figure of the evaluation, or of the older layout without one; every other payload has the newer layout."""
+    nested = F.concat(F.lit('{"evaluation": '), "props", F.lit("}"))
+    rows = v.jobs.select("job_id", F.when(F.col("job_id") % 2 == 0, nested).otherwise(F.col("props")).alias("p"))
+    return rows.select("job_id", F.coalesce(F.get_json_object("p", "$.evaluation.k"), F.get_json_object("p", "$.k")).cast("int").alias("k"))
 
 
-@query("prj_collection_cut", "SELECT user_id AS tenant_id, arg_max(props->>'$.n', event_id)::INT AS cut_limit, true AS registered FROM events GROUP BY ALL")
+@query("prj_collection_cut", """
+WITH j AS (SELECT user_id, arg_max(props->>'$.k', event_id)::INT AS cut_limit FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+o AS (SELECT user_id AS viewer, count(*) AS collected FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT c_custkey AS tenant_id, cut_limit, user_id IS NOT NULL AS registered, coalesce(collected, 0)::BIGINT AS collected,
+  coalesce(cut_limit > 0 AND coalesce(collected, 0) >= cut_limit, false) AS limit_reached
+FROM customer LEFT JOIN j ON user_id = c_custkey LEFT JOIN o ON viewer = c_custkey
+""")
 def _(v):
-    return v.jobs.groupBy("tenant_id").agg(F.get_json_object(F.max_by("props", "job_id"), "$.n").cast("int").alias("cut_limit")).withColumn("registered", F.lit(True))
+    """Cut of each tenant's latest collection; tenants without one are not registered."""
+    latest = v.jobs.where("event_type = 'purchase'").groupBy("tenant_id").agg(F.max_by("props", "job_id").alias("props"))
+    cut = latest.select("tenant_id", F.get_json_object("props", "$.k").cast("int").alias("cut_limit"), F.lit(True).alias("registered"))
+    have = v.jobs.where("event_type = 'view'").groupBy("tenant_id").agg(F.count("*").alias("collected"))
+    tenants = v.table("customer").select(F.col("c_custkey").alias("tenant_id"))
+    rows = tenants.join(cut, "tenant_id", "left").join(have, "tenant_id", "left").na.fill(0, ["collected"]).na.fill(False, ["registered"])
+    reached = (F.col("cut_limit") > 0) & (F.col("collected") >= F.col("cut_limit"))
+    return rows.select("tenant_id", "cut_limit", "registered", "collected", F.coalesce(reached, F.lit(False)).alias("limit_reached"))
 
 
 @query("agg_members", "SELECT c_nationkey AS tenant_id, count(*)::BIGINT AS members FROM customer GROUP BY ALL")

@@ -123,9 +123,16 @@ def _(v):
     return v.table("documents").where(T.fold(F.lower("text")).contains("cion")).select("doc_id")
 
 
-@query("flt_nonlatin_strict", "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 3 AND 2 * length(regexp_replace(text, '[^\\p{Latin}]', '', 'g')) < length(regexp_replace(text, '[^\\p{L}]', '', 'g'))")
+#: All texts are Latin, so two of three get some or most of their letters in another script.
+CYRILLIC = {1: ("eio", "еіо"), 2: ("aeinorst", "аеинорст")}
+SCRIPTS_SQL = f"SELECT doc_id, CASE doc_id % 3 {' '.join(f'WHEN {k} THEN translate(text, {a!r}, {b!r})' for k, (a, b) in CYRILLIC.items())} ELSE text END AS text FROM documents"
+
+
+@query("flt_nonlatin_strict", f"SELECT doc_id FROM ({SCRIPTS_SQL}) WHERE length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 3 AND 2 * length(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g')) < length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))")
 def _(v):
-    return v.table("documents").where(T.nonlatin_strict(F.col("text"))).select("doc_id")
+    third = F.col("doc_id") % 3
+    text = F.when(third == 1, F.translate("text", *CYRILLIC[1])).when(third == 2, F.translate("text", *CYRILLIC[2])).otherwise(F.col("text"))
+    return v.table("documents").select("doc_id", text.alias("text")).where(T.nonlatin_strict(F.col("text"))).select("doc_id")
 
 
 @query("flt_nonlatin_export", "SELECT count(*)::BIGINT AS n FROM documents WHERE length(regexp_replace(text, '[^\\p{L}]', '', 'g')) = 0 OR length(regexp_replace(text, '[^\\p{Latin}]', '', 'g')) >= 0.5 * length(regexp_replace(text, '[^\\p{L}]', '', 'g'))")
@@ -542,10 +549,10 @@ def _(v):
     return v.jobs.select("job_id", F.array_join(F.array_except(keys, F.array(F.lit("videos"), F.lit("limit"))), ",").alias("unknown"))
 
 
-@query("json_payload_merge", "SELECT event_id AS job_id, (props->>'$.n')::INT AS n, event_type AS kind FROM events")
+@query("json_payload_merge", "SELECT event_id AS job_id, (props->>'$.k')::INT AS k, event_type AS kind FROM events")
 def _(v):
     merged = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("kind"), F.col("event_type")))
-    return v.jobs.select("job_id", merged["n"].cast("int").alias("n"), merged["kind"].alias("kind"))
+    return v.jobs.select("job_id", merged["k"].cast("int").alias("k"), merged["kind"].alias("kind"))
 
 
 @query("json_prompt_batches", "SELECT lang, floor((r - 1) / 25)::BIGINT AS batch, count(*)::BIGINT AS n FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) GROUP BY ALL")

@@ -10,7 +10,7 @@ from ..sources.store import Table
 from .bindings import EXECUTIONS_SQL, ORDERS_SQL, TOPICS_SQL, counts_sql
 from .kernels import STATUS, STOP, WORDS_SQL, now, queue
 from .registrar import query
-from .reports import DEFAULT
+from .reports import DEFAULT, RUNS, runs, topics, videos
 
 NOW = "TIMESTAMP '2024-01-20'"
 QUEUE = f"SELECT event_id AS job_id, user_id % 3 AS kind, {STATUS} AS status, ts AS created_at, floor(value)::BIGINT % 7 AS attempts, user_id AS tenant_id FROM events"
@@ -228,26 +228,48 @@ def _(v):
     return titles.where((F.length("candidate") >= T.MIN_TOKEN) & ~F.col("candidate").isin(*STOP))
 
 
-@query("agg_emoji_frequency", r"""
+#: The tables hold no symbols, so every text gets up to three of one kind behind it.
+SIGNED_SQL = "SELECT doc_id, text || repeat(['⭐', '🐈', '🔥'][doc_id % 3 + 1], (doc_id % 4)::INT) AS text FROM documents"
+
+
+def signed(v):
+    sign = F.element_at(F.array(*map(F.lit, "⭐🐈🔥")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return v.table("documents").select("doc_id", F.concat("text", F.repeat(sign, (F.col("doc_id") % 4).cast("int"))).alias("text"))
+
+
+@query("agg_emoji_frequency", rf"""
 SELECT e AS symbol, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS texts
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{So}\x{1F300}-\x{1FAFF}\x{1F1E6}-\x{1F1FF}\x{2600}-\x{27BF}]')) AS e FROM documents) GROUP BY ALL
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{So}}\x{{1F300}}-\x{{1FAFF}}\x{{1F1E6}}-\x{{1F1FF}}\x{{2600}}-\x{{27BF}}]')) AS e FROM ({SIGNED_SQL})) GROUP BY ALL
 """)
 def _(v):
-    found = v.table("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.EMOJI_PATTERN), F.lit(0))).alias("symbol"))
+    found = signed(v).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.EMOJI_PATTERN), F.lit(0))).alias("symbol"))
     per = found.groupBy("symbol", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("symbol").agg(F.sum("n").alias("occurrences"), F.count("*").alias("texts"))
 
 
-@query("str_is_emoji", r"SELECT doc_id, length(regexp_replace(text, '[^\p{So}\x{1F300}-\x{1FAFF}\x{1F1E6}-\x{1F1FF}\x{2600}-\x{27BF}]', '', 'g'))::INTEGER AS symbols FROM documents")
+@query("str_is_emoji", rf"""
+SELECT doc_id, length(regexp_replace(text, '[^\p{{So}}\x{{1F300}}-\x{{1FAFF}}\x{{1F1E6}}-\x{{1F1FF}}\x{{2600}}-\x{{27BF}}]', '', 'g'))::INTEGER AS symbols FROM ({SIGNED_SQL})
+""")
 def _(v):
-    return v.table("documents").select("doc_id", F.length(F.regexp_replace("text", T.EMOJI_PATTERN.replace("[", "[^", 1), "")).alias("symbols"))
+    return signed(v).select("doc_id", F.length(F.regexp_replace("text", T.EMOJI_PATTERN.replace("[", "[^", 1), "")).alias("symbols"))
 
 
 # Facts --------------------------------------------------------------------------------------------------------
-@query("fact_config", "SELECT " + ", ".join(f"{value!r}::{'BIGINT' if isinstance(value, int) else 'DOUBLE'} AS {name}" for name, value in vars(DEFAULT).items()))
+def admitted_sql(name: str, t: X.Thresholds) -> str:
+    enough = "(SELECT count(*) FROM {0} x WHERE x.execution_id = runs.execution_id AND x.total >= {1})::BIGINT AS {0}_enough"
+    return f"""SELECT '{name}' AS config, execution_id, total >= {t.run_min} AS run_enough, total >= {t.compared_run_min} AS compared_enough,
+  {enough.format('topics', t.topic_min)}, {enough.format('videos', t.video_min)} FROM runs"""
+
+
+#: The configuration that facts use, and one that asks for twice its samples.
+CONFIGS = {"default": DEFAULT, "twice": X.Thresholds(topic_min=60, video_min=60, run_min=200, compared_run_min=200)}
+
+
+@query("fact_config", f"{RUNS} {' UNION ALL '.join(admitted_sql(*c) for c in CONFIGS.items())}")
 def _(v):
-    literal = lambda x: F.lit(x).cast("long" if isinstance(x, int) else "double")
-    return v.spark.range(1).select(*[literal(value).alias(name) for name, value in vars(DEFAULT).items()])
+    """What each configuration admits in every run."""
+    each = [X.admitted(runs(v), topics(v), videos(v), t).withColumn("config", F.lit(name)) for name, t in CONFIGS.items()]
+    return each[0].unionByName(each[1])
 
 
 @query("arr_keywords_norm", f"""WITH {TOPICS_SQL}

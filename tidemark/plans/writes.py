@@ -42,12 +42,12 @@ SELECT n0, n1, ({POLARITY_SQL})::INTEGER AS polarity, count(*)::BIGINT AS n
 FROM (SELECT (p_size % 3 - 1)::INTEGER AS n0, (p_size % 5 - 2)::INTEGER AS n1 FROM part) GROUP BY ALL
 """)
 def _(v):
-    p = v.table("part").select((F.col("p_size") % 3 - 1).cast("int").alias("n0"), (F.col("p_size") % 5 - 2).cast("int").alias("n1"))
-    line = F.format_string("x,x.PoS=N;POL:N0=%d;POL:N1=%d", "n0", "n1")
-    combos = p.groupBy("n0", "n1").agg(F.count("*").alias("n"))
-    polarity = files.parse_lexicon(combos.select(line.alias("value"))).select("polarity")  # the rule itself, on every combination
-    n = combos.select("*", files.polarity_of("n0", "n1").alias("polarity"))
-    return n.join(F.broadcast(polarity.distinct()), "polarity", "left_semi").select("n0", "n1", "polarity", "n")
+    """A line for every part goes through the parser; its form names the two polarities, so each parsed value is told apart."""
+    n0, n1 = F.col("p_size") % 3 - 1, F.col("p_size") % 5 - 2
+    lines = v.table("part").select(F.format_string("w%d:%d,w.PoS=N;POL:N0=%d;POL:N1=%d", n0, n1, n0, n1).alias("value"))
+    parsed = files.parse_lexicon(lines).groupBy("form", "polarity").agg(F.count("*").alias("n"))
+    said = F.split(F.substring("form", 2, 10), ":")
+    return parsed.select(said[0].cast("int").alias("n0"), said[1].cast("int").alias("n1"), "polarity", "n")
 
 
 SHEET_SQL = """
