@@ -20,9 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .bpe import CHUNKS, END, WORD, WORDS, encoder
+from .anchors import sliced
+from .bpe import BEYOND, END, WORD, WORDS
 
 CAPACITY = 2048
 ISLAND = 8192  # pieces an island holds, about
@@ -30,79 +33,122 @@ POPULATION, ELITES = 10, 48
 EFFORT = 200_000  # pieces times generations of an island; 24 generations of a full one, GENERATIONS of a small one
 GENERATIONS, PAIRS, FEW = 400, 48, 12  # the most generations; displaced pieces, and pieces of a bin, up to which they are also tried in pairs
 SEPARATOR = (0).to_bytes(4, "little")
+#: by byte: its lower case, whether it is a letter then, white space, or may begin a character that BEYOND finds
+LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], dtype=np.uint8)
+LETTER = np.array([chr(b).islower() and b < 128 for b in range(256)])
+SPACE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
+ODD = np.array([b >= 0xC9 or 0x1C <= b < 0x20 for b in range(256)])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of large strings without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return offsets - offsets[0], np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+
+
+def loosened(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case and a space between a letter and a comma or stop that ends a chunk; their words stay."""
+    offsets, data = raw(texts)
+    data = LOWER[data]
+    end = ((data == ord(",")) | (data == ord("."))).nonzero()[0]
+    end = end[(end > 0) & (end < len(data) - 1)]
+    end = end[LETTER[data[end - 1]] & SPACE[data[end + 1]]]
+    data = np.insert(data, end, ord(" "))
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets + np.searchsorted(end, offsets)), pa.py_buffer(data)])
+
+
 class TokenBytes:
     """Ids as little-endian bytes, by the tokenizers library; it sees each uncached word once a group of texts."""
 
-    GROUP = 1 << 20  # characters of a group of texts, about
+    GROUP = 2 << 20  # bytes of a group of texts, about
+    JOINED = 256  # words in one call of the library
 
     def __init__(self, path: str):
-        self.encoder = encoder(path)
-        self.library = self.encoder.library
-        self.ends = {i for i, t in self.encoder.names.items() if t.endswith(END)}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words that are cut and in lower case already
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+        self.known: dict[str, bytes] = {}  # of words, and of chunks of several
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
         """Words of the splitter stay apart when joined by spaces, and each ends with one end-of-word token."""
         out: dict[str, bytes] = {}
-        for lo in range(0, len(words), 256):
-            part, own, k = words[lo : lo + 256], [], 0
-            for i in self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids:
-                own.append(i)
-                if i in self.ends:
-                    out[part[k]] = np.array(own, dtype="<u4").tobytes()
-                    own, k = [], k + 1
+        for lo in range(0, len(words), self.JOINED):
+            part = words[lo : lo + self.JOINED]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out.update(zip(part, [data[a:z] for a, z in zip([0, *cut], cut)], strict=True))
         return out
 
-    def _new_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        split = {c: WORD.findall(c) for c in chunks}
-        words = {w for s in split.values() for w in s}
-        new = self._new_words([w for w in words if w not in self.words])
-        known = self.words
-        found = {c: b"".join([known.get(w) or new[w] for w in s]) for c, s in split.items()}
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Bytes of each of some distinct chunks without white space."""
+        known = self.known
+        found = list(map(known.get, chunks))
+        missing = [k for k, b in enumerate(found) if b is None]
+        split = {k: WORD.findall(c.lower()) for k in missing if not ((c := chunks[k]).isalpha() and c.islower() and c.isascii())}
+        words = {chunks[k] for k in missing if k not in split}
+        words.update(w for own in split.values() for w in own if w not in known)
+        new = self._new_words(list(words))
+        for k, own in split.items():
+            found[k] = new[chunks[k]] = b"".join([known[w] if w in known else new[w] for w in own])
+        for k in missing:
+            if found[k] is None:
+                found[k] = new[chunks[k]]
         if len(known) < WORDS:
             known.update(new)
         return found
 
-    def every(self, texts: list[str | None]):
+    def every(self, texts: pa.Array):
         """Bytes of each text, in order."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= self.GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]):
-        split = [self.encoder.plain(t) for t in texts]
-        known = self.chunks
-        new = self._new_chunks({c for s in split if s for c in s if c not in known})
-        room = len(known) < CHUNKS
-        if room:
-            known.update(new)
-        for text, chunks in zip(texts, split):
-            if chunks is None:
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            elif room or not new:
-                yield b"".join([known[c] for c in chunks])
-            else:
-                yield b"".join([known.get(c) or new[c] for c in chunks])
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        for group in sliced([pa.record_batch([texts], ["text"])], 0, self.GROUP):
+            yield from self._group(group.column(0))
+
+    def _group(self, texts: pa.Array):
+        rare = self._rare(texts)
+        if rare:
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[list(rare)] = True
+            texts = pc.if_else(pa.array(mask), "", texts).cast(pa.large_string())
+        split = pc.utf8_split_whitespace(loosened(texts))
+        chunks = split.flatten().dictionary_encode()
+        found = pa.array(self._chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        offsets, data = raw(found)
+        at, data = offsets[split.offsets.to_numpy()].tolist(), memoryview(data)
+        for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            yield rare[k] if k in rare else bytes(data[a:z])
+
+    def _rare(self, texts: pa.Array) -> dict[int, bytes]:
+        """Bytes, by row, of the texts that must be cut by the library; most groups are told to have none by their bytes alone."""
+        _, data = raw(texts)
+        if not (ODD[data].any() or ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any()):
+            return {}
+        return {k: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for k, t in enumerate(texts.to_pylist()) if BEYOND.search(t)}
+
+
+_TOKENS: dict[str, TokenBytes] = {}
+
+
+def token_bytes(path: str) -> TokenBytes:
+    """One a worker process, which keeps its words from task to task."""
+    if path not in _TOKENS:
+        _TOKENS[path] = TokenBytes(path)
+    return _TOKENS[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document, without their ids; a narrow map."""
 
     def run(batches):
-        ids_of = TokenBytes(path)
+        ids_of = token_bytes(path)
         step = 4 * capacity
         for b in batches:
             rows, at = [], []
-            for k, ids in enumerate(ids_of.every(b.column(1).to_pylist())):
+            for k, ids in enumerate(ids_of.every(b.column(1))):
                 ids += SEPARATOR
                 for p, s in enumerate(range(0, len(ids), step)):
                     part = ids[s : s + step]
