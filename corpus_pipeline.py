@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import packing, quality_rules, simhash, substring, toxicity
-from tidemark.llm.io import partitions, shared_dir, table
+from tidemark.llm.io import partitions, released, shared_dir, table
 from tidemark.llm.registry import tokenizer_path
 
 #: No SQL can express the learned, the fingerprint and the packing stages; tests hold run() against brute force.
@@ -65,7 +65,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
             out = b.select(list(range(b.num_columns - 1)))
             yield out if all(keep) else out.filter(pa.array(keep))
 
-    return rows.mapInArrow(once, docs.schema)
+    return rows.mapInArrow(released(once), docs.schema)
 
 
 def free(docs: DataFrame, name: str) -> str:

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .anchors import sliced
-from .bpe import BEYOND, END, WORD, WORDS
+from .bpe import BEYOND, END, WORD
+from .io import released
 
 CAPACITY = 2048
+WORDS = 200_000  # kept by a worker, about
 ISLAND = 8192  # pieces an island holds, about
 POPULATION, ELITES = 10, 48
 EFFORT = 200_000  # pieces times generations of an island; 24 generations of a full one, GENERATIONS of a small one
@@ -104,9 +106,8 @@ class TokenBytes:
 
     def every(self, texts: pa.Array):
         """Bytes of each text, in order."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
         for group in sliced([pa.record_batch([texts], ["text"])], 0, self.GROUP):
-            yield from self._group(group.column(0))
+            yield from self._group(pc.fill_null(group.column(0), "").cast(pa.large_string()))
 
     def _group(self, texts: pa.Array):
         rare = self._rare(texts)
@@ -158,7 +159,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 cols = [b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), PIECES)
 
 
 class Island:
@@ -354,7 +355,7 @@ def _epoch(dealt: DataFrame, islands: int, capacity: int, epoch: int) -> DataFra
         for done, parts in held.items():
             yield island_run(done, pa.Table.from_batches(parts))
 
-    return dealt.repartitionById(islands, F.col("island")).sortWithinPartitions("island").mapInArrow(run, PACKED)
+    return dealt.repartitionById(islands, F.col("island")).sortWithinPartitions("island").mapInArrow(released(run), PACKED)
 
 
 def _elites(packed: DataFrame, islands: int, capacity: int) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import stars
-from .io import partitions
+from .io import partitions, released
 
 SUBSETS = list(combinations(range(8), 4))
 MASKS = np.array([sum(0xFF << (8 * p) for p in s) for s in SUBSETS], dtype=np.uint64)
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *extra])
 
     carried = "".join(f", `{c}` string" for c in extra)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra).mapInArrow(run, f"doc_id long, fp long{carried}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *extra).mapInArrow(released(run), f"doc_id long, fp long{carried}")
 
 
 def forest(values: np.ndarray, bits: int = 3) -> list[tuple[int, int]]:
@@ -109,8 +109,8 @@ def edges(prints: DataFrame, parts: int) -> DataFrame:
             pairs = np.array(list(out), dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    posted = prints.select("fp").mapInArrow(post, "key long, fp long")
-    return posted.repartition(parts, "key").mapInArrow(link, "a long, b long")
+    posted = prints.select("fp").mapInArrow(released(post), "key long, fp long")
+    return posted.repartition(parts, "key").mapInArrow(released(link), "a long, b long")
 
 
 def rooted(prints: DataFrame) -> DataFrame:

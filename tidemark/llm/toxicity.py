@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import CHUNKS, WORDS, _Cache
+from .io import released
 
 BUCKETS, DIM = 1 << 18, 6
 SAMPLE = 2000  # training rows of each class at most
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], ["doc_id", "class", "words", "counts"])
 
     some = sample(docs, labels, "toxic", usable).select(F.col("doc_id").cast("long"), "text", F.col("_class").cast("int"))
-    rows = sorted(some.mapInArrow(run, "doc_id long, class int, words string, counts binary").collect())
+    rows = sorted(some.mapInArrow(released(run), "doc_id long, class int, words string, counts binary").collect())
     cache = Bags.cache()
     return train_bags((Bags.of(r["words"].split(), np.frombuffer(r["counts"], np.int32), cache) for r in rows), [r["class"] for r in rows])
 
@@ -215,7 +216,7 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
